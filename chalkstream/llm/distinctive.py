@@ -45,7 +45,8 @@ def distinctive_terms(rows: DataFrame, record: str, unit: str, text: str, same:
     blocks = words.groupBy("record", "block", "term").agg(F.sum("tf").alias("tf"), F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).alias("n_units"))
     counts = blocks.groupBy("record", "term").agg(F.sum("tf").alias("tf"), F.sum("n_units").alias("n_units"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = counts.groupBy("record").agg(F.sum("tf").alias("record_terms"))
+    # lengths come from the texts, before terms are exploded; the filter keeps both uses of them on one exchange
+    lengths = once.groupBy("record").agg(F.sum(F.size(terms(F.col("text")))).alias("record_terms")).where("record_terms > 0")
     n = lengths.agg(F.count(F.lit(1)).alias("n_records"))
     out = counts.join(df.hint("shuffle_hash"), "term").join(lengths.hint("shuffle_hash"), "record").crossJoin(F.broadcast(n))
     idf = F.log((1 + F.col("n_records")) / (1 + F.col("df"))) + 1
