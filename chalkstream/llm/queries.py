@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from chalkstream.functions.keys import is_blank, linkable_id, norm_id
 from chalkstream.llm.chunks import split_long
 from chalkstream.llm.components import assign_splits, linked_records
-from chalkstream.llm.conversations import conversations, reply_links, session_verdicts
+from chalkstream.llm.conversations import conversations, reply_candidates, session_verdicts
 from chalkstream.llm.distinctive import distinctive_terms, recurring_terms
+from chalkstream.llm.turns import noise, speaker_turns
 from chalkstream.llm.transcripts import responses, utterances
 from chalkstream.session import read
 
@@ -78,14 +79,25 @@ def _sessions_named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = reply_links(utterances(spark, sf_dir, "content", "role", "ts"))
-    return session_verdicts(links, _sessions_named(spark, sf_dir)).where("reason is not null").select("session_id", "reason")
+    candidates = reply_candidates(utterances(spark, sf_dir, "content", "role", "ts"))
+    return session_verdicts(candidates, _sessions_named(spark, sf_dir)).where("reason is not null").select("session_id", "reason")
 
 
 def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(utterances(spark, sf_dir, "content", "role", "ts"), _sessions_named(spark, sf_dir))
 
 
+# 7: clean speaker turns
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise(utterances(spark, sf_dir, "content"))
+
+
+def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speaker_turns(utterances(spark, sf_dir, "content", "role", "ts"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit() and callable(f)}
 
