@@ -40,7 +40,8 @@ def distinctive_terms(rows: DataFrame, record: str, unit: str, text: str, same:
     )
     # one shuffle of the texts; all that is grouped by more than (record, block) stays in place
     once = row.repartition("record", "block").dropDuplicates()
-    at = once.select("record", "block", F.shiftright("unit", 6).alias("word"), F.when(F.col("unit").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("unit", F.lit(64)).cast("int"))).alias("bit"), F.explode(terms(F.col("text"))).alias("term"))
+    # outer: else a filter would seek the terms twice
+    at = once.select("record", "block", F.shiftright("unit", 6).alias("word"), F.when(F.col("unit").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("unit", F.lit(64)).cast("int"))).alias("bit"), F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null")
     words = at.groupBy("record", "block", "word", "term").agg(F.count(F.lit(1)).alias("tf"), F.bit_or("bit").alias("bits"))
     blocks = words.groupBy("record", "block", "term").agg(F.sum("tf").alias("tf"), F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).alias("n_units"))
     counts = blocks.groupBy("record", "term").agg(F.sum("tf").alias("tf"), F.sum("n_units").alias("n_units"))

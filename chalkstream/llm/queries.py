@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkstream.functions.keys import is_blank, linkable_id, norm_id
+from chalkstream.llm.canonical import map_to_entries
 from chalkstream.llm.chunks import split_long
 from chalkstream.llm.components import assign_splits, linked_records
 from chalkstream.llm.conversations import conversations, reply_candidates, session_verdicts
@@ -23,7 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def session_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive_terms(utterances(spark, sf_dir, "content", "role", "ts"), "session_id", "utterance_id", "content", same=("role", "ts"))
+    """An utterance id's text counts once, whatever role or time its repeats have."""
+    return distinctive_terms(utterances(spark, sf_dir, "content"), "session_id", "utterance_id", "content")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,26 @@ def p2_objective_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("learning_objective_id", "term", "tf", "df", F.round("score", 9).alias("score"))
 
 
+# 3: mapping freely typed values
+
+
+def _objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each response with an objective once; of several texts the one that came last."""
+    rows = responses(spark, sf_dir, "learning_objective", "ingested_at").where(~is_blank(F.col("learning_objective")) & F.col("response_id").isNotNull())
+    return rows.groupBy("response_id").agg(F.max_by("learning_objective", F.struct("ingested_at", "learning_objective")).alias("learning_objective"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _objectives(spark, sf_dir)
+    mapped = map_to_entries(rows, "learning_objective", read(spark, sf_dir, "objective_reference"), "ref_id", "objective")
+    return rows.join(mapped, "learning_objective").select("response_id", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"))
+
+
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different text with its entry and scores; those without an entry are the report of what matches nothing."""
+    return map_to_entries(read(spark, sf_dir, "test_features"), "learning_objective", read(spark, sf_dir, "objective_reference"), "ref_id", "objective")
+
+
 # 4: splitting oversized items
 
 
@@ -107,7 +129,7 @@ _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 _SID = f"upper(trim(session_id, {_WS}))"
 _UID = f"try_cast(regexp_extract(trim(utterance_id, {_WS}), '^([+-]?[0-9]+)([.]0*)?$', 1) as bigint)"
 _U = f"u as (select {_SID} as session_id, {_UID} as utterance_id, role, content, ts from test_transcripts)"
-_TERMS = f"""with {_U}, d as (select distinct * from u where session_id is not null and content is not null),
+_TERMS = f"""with {_U}, d as (select distinct session_id, utterance_id, content from u where session_id is not null and content is not null),
  t as (select session_id, utterance_id, unnest(regexp_extract_all(lower(content), '[a-z]{{4,}}')) as term from d),
  c as (select session_id, term, count(*) as tf, count(distinct utterance_id) as n_units from t group by all),
  f as (select term, count(*) as df from c group by term), l as (select session_id, sum(tf) as len from c group by all), n as (select count(*) as n from l)"""
