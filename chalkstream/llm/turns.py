@@ -65,7 +65,7 @@ def cleaned(rows: DataFrame, text: str = "content") -> DataFrame:
     # each gate is true wherever the pattern can match, and much cheaper
     a = rows.withColumn("__a", drop(x, STAMP, x.contains(":") | x.contains("{t=") | x.contains("s]")))
     b = a.withColumn("__b", drop("__a", SOUND, F.col("__a").rlike(r"[\[({<*~♪]")))
-    c = b.withColumn("__c", drop("__b", LABEL, F.col("__b").rlike(r"^[ \t]*(?:[\[(<*]|[TSts](?:[>:]|\s:|tud|ut|eac|p[ek])|[pP](?i:up)|[lL](?i:ear)|[iI](?i:nst)|[cC](?i:oac))|[\n\r\u0085\u2028\u2029]")))
+    c = b.withColumn("__c", drop("__b", LABEL, F.col("__b").rlike(r"^[ \t]*(?:[\[(<*]|[TSts](?i:[>:]|\s:|tud|ut|eac|p[ek])|[pP](?i:up)|[lL](?i:ear)|[iI](?i:nst)|[cC](?i:oac))|\R")))
     d = c.withColumn("__d", F.regexp_replace("__c", FILLER, " "))
     steps = list(zip(KINDS, (x, F.col("__a"), F.col("__b"), F.col("__c")), (F.col("__a"), F.col("__b"), F.col("__c"), F.col("__d"))))
     mask = sum((F.when(old != new, 1 << i).otherwise(0) for i, (_, old, new) in enumerate(steps)), F.lit(0))
@@ -80,11 +80,6 @@ def noise(rows: DataFrame) -> DataFrame:
     return marked.select("session_id", "utterance_id", F.explode_outer(kinds).alias("kind")).where("kind is not null").distinct()
 
 
-def _label_role(label: Column) -> Column:
-    x = F.regexp_replace(F.lower(label), "[^a-z]+", "")
-    return F.when(x.isin("s"), "student").when(x.isin("t"), "tutor").otherwise(F.when(clean_role(x).isin("student", "tutor"), clean_role(x)))
-
-
 def speaker_turns(rows: DataFrame) -> DataFrame:
     """session_id, turn, role, text, first_id, last_id, n_segments: ordered turns with only the words that were said.
 
@@ -109,10 +104,12 @@ def speaker_turns(rows: DataFrame) -> DataFrame:
     placed = placed.withColumn("pos", F.coalesce("utterance_id", "anchor", F.lit(LATE)))
     lines = placed.select("session_id", "pos", F.col("utterance_id").isNull().alias("late"), "secs", "utterance_id", "role", F.posexplode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n")).alias("line", "content"))
     said = cleaned(lines)
-    label = F.regexp_extract("__b", LABEL, 0)
-    text = F.btrim(F.regexp_replace("__d", r"\s+", " "))
-    segs = said.select("session_id", "pos", "late", "secs", "line", "utterance_id", F.coalesce(_label_role(label), "role").alias("role"), text.alias("text")).where(F.length("text") > 0)
-    segs = segs.where("role in ('student', 'tutor')").withColumn("block", F.shiftright("pos", BLOCK_BITS))
+    label = F.when(F.col("__b") != F.col("__c"), F.regexp_extract("__b", LABEL, 0))
+    said = said.select("session_id", "pos", "late", "secs", "line", "utterance_id", "role", label.alias("label"), F.btrim(F.regexp_replace("__d", r"\s+", " ")).alias("text"))
+    # through an array, so that the filters below are not pushed down to run every step again
+    segs = said.select(F.explode_outer(F.array(F.struct(*said.columns))).alias("s")).select("s.*").withColumn("label", clean_role(F.regexp_replace("label", r"[^\p{L}]+", "")))
+    segs = segs.withColumn("role", F.when(F.col("label").isin("student", "tutor"), F.col("label")).otherwise(F.col("role")))
+    segs = segs.where("text <> '' and role in ('student', 'tutor')").withColumn("block", F.shiftright("pos", BLOCK_BITS))
     w = W.partitionBy("session_id", "block").orderBy("pos", "late", "secs", "line", "role", "text")
     turn = F.sum(F.when(F.col("role") == F.lag("role").over(w), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
     numbered = segs.withColumn("k", F.row_number().over(w)).withColumn("turn", turn)
