@@ -14,8 +14,10 @@ from chalkstream.llm.components import assign_splits, linked_records
 from chalkstream.llm.conversations import conversations, reply_candidates, session_verdicts
 from chalkstream.llm.distinctive import distinctive_terms, recurring_terms
 from chalkstream.llm.turns import noise, speaker_turns
+from chalkstream.llm.leakage import leaked_items
+from chalkstream.llm.mixing import count_tokens, language, mix, shares, topic
 from chalkstream.llm.transcripts import responses, utterances
-from chalkstream.session import read
+from chalkstream.session import cut, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +122,36 @@ def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns(utterances(spark, sf_dir, "content", "role", "ts"))
 
 
+# 8: evaluation texts in training text
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact check, 12 consecutive words, follows the operator."""
+    return p8_leaks(spark, sf_dir).where("longest_run >= 12").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a piece of an item, its distance from the whole item, and the longest run it has of it."""
+    return leaked_items(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "item_text")
+
+
+# 9: mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", language(F.col("lang")).alias("lang"), topic(F.col("text")).alias("topic"), "text")
+    targets = {r.source: (r.target_share, r.max_repeats) for r in read(spark, sf_dir, "mix_targets").limit(10_000).collect()}
+    return mix(cut(count_tokens(docs, "text").drop("text")), "doc_id", targets)
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(_mixed(spark, sf_dir), read(spark, sf_dir, "mix_targets").select("source", "target_share"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit() and callable(f)}
 
