@@ -16,6 +16,7 @@ from chalkstream.llm.distinctive import distinctive_terms, recurring_terms
 from chalkstream.llm.turns import noise, speaker_turns
 from chalkstream.llm.leakage import leaked_items
 from chalkstream.llm.mixing import count_tokens, language, mix, shares, topic
+from chalkstream.llm.quality import text_kinds
 from chalkstream.llm.transcripts import responses, utterances
 from chalkstream.session import cut, read
 
@@ -152,6 +153,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(_mixed(spark, sf_dir), read(spark, sf_dir, "mix_targets").select("source", "target_share"))
 
 
+# 10: text quality
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_kinds(read(spark, sf_dir, "documents").select("doc_id", "text")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = text_kinds(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stats.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punct_line_share", "common_share")], "kind")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit() and callable(f)}
 
