@@ -16,6 +16,7 @@ from chalkstream.llm.distinctive import distinctive_terms, recurring_terms
 from chalkstream.llm.turns import noise, speaker_turns
 from chalkstream.llm.leakage import leaked_items
 from chalkstream.llm.mixing import count_tokens, language, mix, shares, topic
+from chalkstream.llm.personal import personal_spans, redacted
 from chalkstream.llm.quality import text_kinds
 from chalkstream.llm.transcripts import responses, utterances
 from chalkstream.session import cut, read
@@ -23,6 +24,21 @@ from chalkstream.session import cut, read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# 1: personal information inside free text
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = utterances(spark, sf_dir, "content").where("session_id is not null and utterance_id is not null")
+    return personal_spans(rows, "content").select("session_id", "utterance_id", F.explode("spans.kind").alias("kind")).distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The utterances that name something personal, with placeholders for it."""
+    rows = utterances(spark, sf_dir, "content").where("session_id is not null and utterance_id is not null")
+    marked = personal_spans(rows, "content").where(F.size("spans") > 0)
+    return marked.select("session_id", "utterance_id", redacted(F.col("content"), F.col("spans")).alias("content"), F.size("spans").alias("n_spans")).distinct()
+
+
 # 2: how distinctive a term is per record
 
 
