@@ -18,3 +18,33 @@ def running_max(df: DataFrame, part: str, block: str, order: list[Column | str],
     past = W.partitionBy(part).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     carried = df.groupBy(part, block).agg(F.max(value).alias("__end")).select(part, block, F.max("__end").over(past).alias("__carry")).where("__carry is not null")
     return near.join(carried, [part, block], "left").withColumn(out, F.greatest(out, "__carry")).drop("__carry")
+
+
+def numbered(df: DataFrame, part: str, block: str, order: list[Column | str], index: str = "i", total: str = "n") -> DataFrame:
+    """df with the 0-based index of each row within part, and the number of rows of part.
+
+    block is as in running_max: rows are numbered within a block, and blocks by a window over one row for each.
+    """
+    w = W.partitionBy(part, block).orderBy(*order)
+    near = df.withColumn("__k", F.row_number().over(w) - 1)
+    past = W.partitionBy(part).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    blocks = df.groupBy(part, block).agg(F.count(F.lit(1)).alias("__c"))
+    blocks = blocks.select(part, block, F.coalesce(F.sum("__c").over(past), F.lit(0)).alias("__o"), F.sum("__c").over(W.partitionBy(part)).alias(total))
+    return near.join(blocks, [part, block]).withColumn(index, F.col("__k") + F.col("__o")).drop("__k", "__o")
+
+
+#: Rows of a block, and rows of its neighbours that it sees: frames of at most HALO rows are exact within blocks.
+BLOCK, HALO = 4096, 64
+
+
+def with_halo(df: DataFrame, index: str = "i") -> DataFrame:
+    """Every row once with own = true in its block blk, and again with own = false in a block whose edge it is near."""
+    blk, k = F.floor(F.col(index) / BLOCK), F.col(index) % BLOCK
+    places = F.array_compact(
+        F.array(
+            F.struct(blk.alias("blk"), F.lit(True).alias("own")),
+            F.when((k < HALO) & (blk > 0), F.struct((blk - 1).alias("blk"), F.lit(False).alias("own"))),
+            F.when(k >= BLOCK - HALO, F.struct((blk + 1).alias("blk"), F.lit(False).alias("own"))),
+        )
+    )
+    return df.withColumn("__p", F.explode(places)).withColumn("blk", F.col("__p.blk")).withColumn("own", F.col("__p.own")).drop("__p")
