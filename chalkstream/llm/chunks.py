@@ -27,7 +27,7 @@ def pieces(text: Column, limit: int = 500, overlap: int = 50) -> Column:
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and smaller than limit")
-    parts = F.when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(boundary_pattern(limit - overlap)), F.lit(1)))
+    parts = F.regexp_extract_all(text, F.lit(boundary_pattern(limit - overlap)), F.lit(1))
     # running ends of the parts, so that each part knows its offset
     ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
 
@@ -39,7 +39,8 @@ def pieces(text: Column, limit: int = 500, overlap: int = 50) -> Column:
         tail = F.when(i == 0, F.lit("")).otherwise(F.substr(back, F.length(cut) + 1))
         return F.struct((i + 1).alias("piece_no"), (at - F.length(tail)).alias("start"), F.concat(tail, part).alias("piece"))
 
-    return F.transform(parts, piece)
+    whole = F.array(F.struct(F.lit(1).alias("piece_no"), F.lit(0).alias("start"), text.alias("piece")))
+    return F.when(F.length(text) <= limit, whole).otherwise(F.transform(parts, piece))
 
 
 def split_long(rows: DataFrame, text: str, limit: int = 500, overlap: int = 50) -> DataFrame:
@@ -51,5 +52,6 @@ def split_long(rows: DataFrame, text: str, limit: int = 500, overlap: int = 50)
     """
     own = [c for c in rows.columns if c not in ("piece_no", "n_pieces", "start", "piece")]
     cut = rows.where(F.col(text).isNotNull()).select(*[F.col(f"`{c}`") for c in own], pieces(F.col(f"`{text}`"), limit, overlap).alias("__pieces"))
-    one = cut.select(*[F.col(f"`{c}`") for c in own], F.size("__pieces").alias("n_pieces"), F.explode("__pieces").alias("__piece"))
+    # outer: else a filter on the array would be pushed down and cut every text twice
+    one = cut.select(*[F.col(f"`{c}`") for c in own], F.size("__pieces").alias("n_pieces"), F.explode_outer("__pieces").alias("__piece"))
     return one.select(*[F.col(f"`{c}`") for c in own], "__piece.piece_no", "n_pieces", "__piece.start", "__piece.piece")
