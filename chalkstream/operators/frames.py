@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chalkstream.functions.dialect import DUCK as DUCK
 from chalkstream.functions.keys import norm_id, whole_number
-from chalkstream.functions.scan import numbered, with_halo
+from chalkstream.functions.scan import numbered, running_sum, with_halo
 from chalkstream.session import read
 
 
@@ -62,3 +62,38 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABELS = f"select * from (select upper(trim(response_id, {_WS})) as response_id, cast(max(try_cast(is_correct as double)) as int) as y from response_labels where response_id is not null group by 1) l where y is not null"
+
+
+def talk(utt: DataFrame) -> DataFrame:
+    """session_id, i, n, role (teacher or student), content, low, secs and blk, own: what tutor and student say.
+
+    Of utterances, those of the two roles with content, trimmed, and numbered anew from 0.
+    """
+    said = utt.where("own and role in ('tutor', 'student')").withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", "")).where("content <> ''")
+    said = said.select("session_id", F.when(F.col("role") == "tutor", "teacher").otherwise("student").alias("role"), "content", F.lower("content").alias("low"), "secs", F.col("i").alias("at"), F.floor(F.col("i") / 4096).alias("block"))
+    return with_halo(numbered(said, "session_id", "block", ["at"]).drop("at", "block"))
+
+
+TALK = r"""select session_id, case when role = 'tutor' then 'teacher' else 'student' end as role, said as content, lower(said) as low, secs, row_number() over (partition by session_id order by i) - 1 as i, count(*) over (partition by session_id) as n, 0 as blk, true as own
+ from (select *, regexp_replace(content, '^\s+|\s+$', '', 'g') as said from utt where role in ('tutor', 'student')) x where said <> ''"""
+
+
+def turns(said: DataFrame) -> DataFrame:
+    """session_id, turn, teacher, student, last_student, i, n and blk, own: a turn is a teacher block, then a student block.
+
+    A new turn begins where the teacher speaks after the student; the first is 0 if the student opens, else 1. Texts of
+    a block are joined by a space. A last turn without student text is dropped; i and n number the rest. last_student is
+    the place of the turn's last student utterance in talk, null for no turn that is left.
+    """
+    w = W.partitionBy("session_id", "blk").orderBy("i")
+    flagged = said.withColumn("flag", F.when((F.col("role") == "teacher") & (F.lag("role").over(w) == "student"), 1).otherwise(F.when((F.col("i") == 0) & (F.col("role") == "teacher"), 1).otherwise(0)))
+    counted = running_sum(flagged.where("own"), "session_id", "blk", ["i"], "flag", "turn")
+    block = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("i", "content")))), lambda x: x["content"]), " ")
+    built = counted.groupBy("session_id", "turn").agg(block("teacher").alias("teacher"), block("student").alias("student"), F.max(F.when(F.col("role") == "student", F.col("i"))).alias("last_student"))
+    kept = built.where("student <> ''").withColumn("block", F.floor(F.col("turn") / 4096))
+    return with_halo(numbered(kept, "session_id", "block", ["turn"]).drop("block"))
+
+
+TURNS = """select session_id, turn, teacher, student, last_student, row_number() over (partition by session_id order by turn) - 1 as i, count(*) over (partition by session_id) as n, 0 as blk, true as own
+ from (select session_id, turn, coalesce(string_agg(case when role = 'teacher' then content end, ' ' order by i), '') as teacher, coalesce(string_agg(case when role = 'student' then content end, ' ' order by i), '') as student, max(case when role = 'student' then i end) as last_student
+  from (select *, sum(flag) over (partition by session_id order by i) as turn from (select *, case when role = 'teacher' and (lag(role) over (partition by session_id order by i) = 'student' or i = 0) then 1 else 0 end as flag from talk) a) b group by 1, 2) c where student <> ''"""

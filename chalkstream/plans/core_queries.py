@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chalkstream.functions.dialect import duck
-from chalkstream.operators import frames, profiles
+from chalkstream.functions.dialect import DUCK, duck, run
+from chalkstream.operators import annotations as ann
+from chalkstream.operators import difficulty as diff
+from chalkstream.operators import frames, profiles, scoring
+from chalkstream.operators import objectives as lo
+from chalkstream.operators import sequences as seq
+from chalkstream.operators import soft
 from chalkstream.plans.registry import query
+from chalkstream.session import read
 
 
 @query("session_profile", duck(profiles.session_profile_sql, utt=frames.UTT))
@@ -14,7 +21,7 @@ def session_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.session_profile(frames.utterances(spark, sf_dir))
 
 
-@query("session_rates", duck(profiles.session_rates_sql, utt=frames.UTT, profile=profiles.session_profile_sql(frames.DUCK, "utt")))
+@query("session_rates", duck(profiles.session_rates_sql, utt=frames.UTT, profile=profiles.session_profile_sql(DUCK, "utt")))
 def session_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.session_rates(session_profile(spark, sf_dir))
 
@@ -22,3 +29,288 @@ def session_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dialogue_profile", duck(profiles.dialogue_profile_sql, utt=frames.UTT))
 def dialogue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.dialogue_profile(frames.utterances(spark, sf_dir))
+
+
+# sequences within a session
+
+U, T, R = {"utt": frames.UTT}, {"utt": frames.UTT, "talk": frames.TALK}, {"utt": frames.UTT, "talk": frames.TALK, "turns": frames.TURNS}
+
+
+def _utt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.utterances(spark, sf_dir)
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.talk(_utt(spark, sf_dir))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.turns(_talk(spark, sf_dir))
+
+
+@query("turn_merge", duck(seq.turns_sql, **R))
+def turn_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.turns_sql, turns=_turns(spark, sf_dir))
+
+
+@query("turn_verdicts", duck(seq.turn_verdicts_sql, **R))
+def turn_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.turn_verdicts_sql, turns=_turns(spark, sf_dir))
+
+
+@query("impasse_contingency", duck(seq.impasse_sql, **T))
+def impasse_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.impasse_sql, talk=_talk(spark, sf_dir))
+
+
+@query("repair_arcs", duck(seq.repairs_sql, **R, verdicts=seq.turn_verdicts_sql(DUCK, "turns")))
+def repair_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _talk(spark, sf_dir)
+    return run(seq.repairs_sql, talk=said, verdicts=run(seq.turn_verdicts_sql, turns=frames.turns(said)))
+
+
+@query("record_block", duck(seq.record_sql, **R, graded=seq.graded_sql(DUCK, "turns")))
+def record_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.record_sql, graded=run(seq.graded_sql, turns=_turns(spark, sf_dir)))
+
+
+@query("interaction_block", duck(seq.interactions_sql, **U))
+def interaction_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.interactions_sql, utt=_utt(spark, sf_dir))
+
+
+@query("asof_neighbours", duck(seq.neighbours_own_sql, **U, near=seq.neighbours_sql(DUCK, "utt")))
+def asof_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.neighbours_own_sql, near=run(seq.neighbours_sql, utt=_utt(spark, sf_dir)))
+
+
+@query("role_positions", duck(seq.positions_sql, **U))
+def role_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.positions_sql, utt=_utt(spark, sf_dir))
+
+
+@query("objective_prompt", duck(seq.transcript_sql, **U, resp=frames.RESP))
+def objective_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.transcript_sql, utt=_utt(spark, sf_dir), resp=frames.responses(spark, sf_dir))
+
+
+@query("dialogue_rendering", duck(seq.rendering_sql, **R))
+def dialogue_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(seq.rendering_sql, turns=_turns(spark, sf_dir))
+
+
+# objectives
+
+UR, TR = {"utt": frames.UTT, "resp": frames.RESP}, {**R, "resp": frames.RESP}
+
+
+def _resp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.responses(spark, sf_dir)
+
+
+@query("objective_coverage", duck(lo.coverage_sql, **UR))
+def objective_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.coverage_sql, utt=_utt(spark, sf_dir), resp=_resp(spark, sf_dir))
+
+
+@query("objective_mentions", duck(lo.mentions_sql, **UR))
+def objective_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.mentions_sql, utt=_utt(spark, sf_dir), resp=_resp(spark, sf_dir))
+
+
+@query("objective_local_window", duck(lo.local_window_sql, **UR, idf=lo.idf_sql(DUCK, "resp")))
+def objective_local_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resp = _resp(spark, sf_dir)
+    return run(lo.local_window_sql, utt=_utt(spark, sf_dir), resp=resp, idf=run(lo.idf_sql, resp=resp))
+
+
+@query("objective_local_deltas", duck(lo.local_deltas_sql, **UR, idf=lo.idf_sql(DUCK, "resp"), local=lo.local_window_sql(DUCK, "utt", "resp", "idf"), dialogue=profiles.dialogue_profile_sql(DUCK, "utt")))
+def objective_local_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.local_deltas_sql, local=objective_local_window(spark, sf_dir), resp=_resp(spark, sf_dir), dialogue=dialogue_profile(spark, sf_dir))
+
+
+@query("objective_turn_windows", duck(lo.turn_windows_sql, **TR))
+def objective_turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.turn_windows_sql, turns=_turns(spark, sf_dir), resp=_resp(spark, sf_dir))
+
+
+@query("programme_history", duck(lo.history_sql, **UR))
+def programme_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.history_sql, utt=_utt(spark, sf_dir), resp=_resp(spark, sf_dir))
+
+
+@query("objective_surface", duck(lo.surface_sql, resp=frames.RESP))
+def objective_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.surface_sql, resp=_resp(spark, sf_dir))
+
+
+@query("curriculum_match", duck(lo.curriculum_sql, resp=frames.RESP, statements="select * from nc_curriculum"))
+def curriculum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.curriculum_sql, resp=_resp(spark, sf_dir), statements=read(spark, sf_dir, "nc_curriculum"))
+
+
+@query("session_task", duck(lo.session_task_sql, resp=frames.RESP))
+def session_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.session_task_sql, resp=_resp(spark, sf_dir))
+
+
+@query("objective_difficulty", duck(lo.difficulty_sql, resp=frames.RESP, labels=frames.LABELS))
+def objective_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(lo.difficulty_sql, resp=_resp(spark, sf_dir), labels=frames.labels(spark, sf_dir))
+
+
+# soft codes
+
+RP = {**R, "probs": soft.probabilities_sql(DUCK, "turns")}
+
+
+def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.probabilities_sql, turns=_turns(spark, sf_dir))
+
+
+@query("soft_rates", duck(soft.rates_sql, **RP))
+def soft_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.rates_sql, probs=_probs(spark, sf_dir))
+
+
+@query("soft_weighted_rates", duck(soft.weighted_sql, **RP))
+def soft_weighted_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.weighted_sql, probs=_probs(spark, sf_dir))
+
+
+@query("soft_boundaries", duck(soft.boundaries_sql, **RP))
+def soft_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.boundaries_sql, probs=_probs(spark, sf_dir))
+
+
+@query("soft_directions", duck(soft.directions_sql, **RP))
+def soft_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.directions_sql, probs=_probs(spark, sf_dir))
+
+
+@query("soft_transitions", duck(soft.transitions_sql, **RP))
+def soft_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.transitions_sql, probs=_probs(spark, sf_dir))
+
+
+@query("soft_ratios", duck(soft.ratios_sql, **RP))
+def soft_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.ratios_sql, probs=_probs(spark, sf_dir))
+
+
+@query("soft_interview", duck(soft.interview_sql, **RP))
+def soft_interview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(soft.interview_sql, probs=_probs(spark, sf_dir))
+
+
+# annotations
+
+A = {"utt": frames.UTT, "ann": ann.annotations_sql(DUCK, "code_annotations")}
+
+
+def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(ann.annotations_sql, raw=read(spark, sf_dir, "code_annotations"))
+
+
+@query("annotation_tutor_codes", duck(ann.tutor_codes_sql, **A))
+def annotation_tutor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(ann.tutor_codes_sql, ann=_ann(spark, sf_dir))
+
+
+@query("annotation_student_codes", duck(ann.student_codes_sql, **A))
+def annotation_student_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(ann.student_codes_sql, ann=_ann(spark, sf_dir))
+
+
+@query("annotation_sessions", duck(ann.compiled_sql, **A, tutor=ann.tutor_codes_sql(DUCK, "ann"), student=ann.student_codes_sql(DUCK, "ann")))
+def annotation_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(ann.compiled_sql, tutor=annotation_tutor_codes(spark, sf_dir), student=annotation_student_codes(spark, sf_dir))
+
+
+@query("annotation_spans", duck(ann.code_windows_sql, **A))
+def annotation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(ann.code_windows_sql, ann=_ann(spark, sf_dir), utt=_utt(spark, sf_dir))
+
+
+@query("annotation_objectives", duck(ann.objective_codes_sql, raw="select * from code_annotations"))
+def annotation_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(ann.objective_codes_sql, raw=read(spark, sf_dir, "code_annotations"))
+
+
+# difficulty and folds
+
+
+@query("knn_difficulty", diff.knn_duck())
+def knn_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"), (F.col("label") >= 5).cast("int").alias("y"))
+    prior = v.agg(F.avg("y")).first()[0] or 0.0
+    return diff.neighbour_difficulty(diff.nearest(v, v.where("id % 50 = 0")), prior)
+
+
+_PARTS = "select l_partkey as lo, l_suppkey as kc, cast(l_returnflag = 'R' as int) as y from {}"
+
+
+@query("shared_part_difficulty", duck(diff.shared_parts_sql, outcomes=_PARTS.format("lineitem")))
+def shared_part_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").selectExpr("l_partkey as lo", "l_suppkey as kc", "cast(l_returnflag = 'R' as int) as y")
+    return run(diff.shared_parts_sql, outcomes=lines)
+
+
+@query("ability_contrast", duck(diff.contrast_sql, **TR, labels=frames.LABELS, graded=seq.graded_sql(DUCK, "turns"), record=seq.record_sql(DUCK, "graded"), diff=lo.difficulty_sql(DUCK, "resp", "labels")))
+def ability_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(diff.contrast_sql, record=record_block(spark, sf_dir), diff=objective_difficulty(spark, sf_dir), resp=_resp(spark, sf_dir))
+
+
+@query("greedy_folds")
+def greedy_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.greedy_folds(read(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("clean_sessions", duck(diff.clean_rows_sql, resp=frames.RESP))
+def clean_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(diff.clean_rows_sql, resp=_resp(spark, sf_dir))
+
+
+@query("fold_rates", duck(diff.fold_rates_sql, resp=frames.RESP, labels=frames.LABELS))
+def fold_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(diff.fold_rates_sql, resp=_resp(spark, sf_dir), labels=frames.labels(spark, sf_dir))
+
+
+# scores
+
+S = {"resp": frames.RESP, "scores": scoring.stub_sql(DUCK, "resp")}
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(scoring.stub_sql, resp=_resp(spark, sf_dir))
+
+
+@query("blended_scores", duck(scoring.blended_sql, **S))
+def blended_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(scoring.blended_sql, scores=_scores(spark, sf_dir))
+
+
+@query("output_contract", duck(scoring.output_sql, **S, labels=frames.LABELS, blended=scoring.blended_sql(DUCK, "scores"), wanted="select response_id from labels"))
+def output_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(scoring.output_sql, wanted=frames.labels(spark, sf_dir).select("response_id"), blended=blended_scores(spark, sf_dir))
+
+
+_PRED = f"with resp as ({frames.RESP}), scores as ({scoring.stub_sql(DUCK, 'resp')}), blended as ({scoring.blended_sql(DUCK, 'scores')}), labels as ({frames.LABELS}) select p, y from blended join labels on blended.response_id = labels.response_id"
+
+
+def _pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blended_scores(spark, sf_dir).join(frames.labels(spark, sf_dir), "response_id").select("p", "y")
+
+
+@query("score_metrics", scoring.metrics_duck(_PRED))
+def score_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.metrics(_pred(spark, sf_dir))
+
+
+@query("calibration_fit")
+def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platt's a and b fitted on all scores, and the shift that makes the mean of scores the base rate."""
+    pred = _pred(spark, sf_dir)
+    a, b = scoring.fit_platt(pred)
+    shift = scoring.recentre(pred, pred.agg(F.avg("y")).first()[0] or 0.5)
+    return spark.createDataFrame([(round(a, 6), round(b, 6), round(shift, 6))], "a double, b double, shift double")
