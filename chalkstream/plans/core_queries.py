@@ -11,7 +11,8 @@ from chalkstream.operators import difficulty as diff
 from chalkstream.operators import frames, profiles, scoring
 from chalkstream.operators import objectives as lo
 from chalkstream.operators import sequences as seq
-from chalkstream.operators import soft
+from chalkstream.operators import relations as rel
+from chalkstream.operators import soft, texts
 from chalkstream.plans.registry import query
 from chalkstream.session import read
 
@@ -314,3 +315,104 @@ def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = scoring.fit_platt(pred)
     shift = scoring.recentre(pred, pred.agg(F.avg("y")).first()[0] or 0.5)
     return spark.createDataFrame([(round(a, 6), round(b, 6), round(shift, 6))], "a double, b double, shift double")
+
+
+# texts
+
+
+@query("lexicon_counts", duck(texts.lexicon_counts_sql, **U))
+def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(texts.lexicon_counts_sql, utt=_utt(spark, sf_dir))
+
+
+@query("token_profile", duck(texts.token_profile_sql, **U))
+def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(texts.token_profile_sql, utt=_utt(spark, sf_dir))
+
+
+@query("normalised_objectives", duck(texts.normalised_sql, resp=frames.RESP))
+def normalised_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(texts.normalised_sql, resp=_resp(spark, sf_dir))
+
+
+@query("derived_columns", duck(texts.columns_sql, **U, profile=profiles.session_profile_sql(DUCK, "utt")))
+def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(texts.columns_sql, profile=session_profile(spark, sf_dir))
+
+
+@query("head_keep_truncation", duck(texts.truncated_sql, resp=frames.RESP))
+def head_keep_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(texts.truncated_sql, resp=_resp(spark, sf_dir))
+
+
+@query("publisher_match")
+def publisher_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objective texts against curriculum statements by matching-blocks ratio."""
+    entries = [r.statement for r in read(spark, sf_dir, "nc_curriculum").where("statement is not null").select(F.lower(F.regexp_replace("statement", "^Pupils should be taught to ", "")).alias("statement")).distinct().orderBy("statement").limit(10_000).collect()]
+    return texts.best_ratio(_resp(spark, sf_dir).select(F.lower("lo_text").alias("lo_text")), "lo_text", entries)
+
+
+@query("batch_packing")
+def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns packed into batches of at most 2,000 characters, and how many each session needs."""
+    sized = _turns(spark, sf_dir).where("own").selectExpr("session_id", "i", "length(teacher) + length(student) as size")
+    return texts.packed(sized, "session_id", "i", "size", 2000).groupBy("session_id").agg(F.max("batch").alias("last_batch"), F.count(F.lit(1)).alias("n_turns"))
+
+
+_BUDGET = """select session_id, count(*) as n_kept, cast(sum(size) as bigint) as kept_size from (select *, sum(size) over (partition by session_id) - coalesce(sum(size) over (partition by session_id order by size desc, i desc rows between unbounded preceding and 1 preceding), 0) as rest
+ from (select session_id, i, length(teacher) + length(student) as size from turns) a) b where rest <= 4000 group by session_id"""
+
+
+@query("budget_truncation", f"with utt as ({frames.UTT}), talk as ({frames.TALK}), turns as ({frames.TURNS}) {_BUDGET}")
+def budget_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that stay when the longest go until 4,000 characters are left."""
+    sized = _turns(spark, sf_dir).where("own").selectExpr("session_id", "i", "length(teacher) + length(student) as size")
+    return texts.dropped_longest(sized, "session_id", "i", "size", 4000).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("size").alias("kept_size"))
+
+
+# joins and sets
+
+
+@query("labelled_responses", duck(rel.labelled_sql, resp=frames.RESP, labels=frames.LABELS))
+def labelled_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.labelled_sql, resp=_resp(spark, sf_dir), labels=frames.labels(spark, sf_dir))
+
+
+@query("response_spine", duck(rel.spine_sql, **UR, labels=frames.LABELS, profile=profiles.session_profile_sql(DUCK, "utt"), task=lo.session_task_sql(DUCK, "resp"), difficulty=lo.difficulty_sql(DUCK, "resp", "labels")))
+def response_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.spine_sql, resp=_resp(spark, sf_dir), profile=session_profile(spark, sf_dir), task=session_task(spark, sf_dir), difficulty=objective_difficulty(spark, sf_dir))
+
+
+@query("fallback_responses", duck(rel.fallback_sql, **UR))
+def fallback_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.fallback_sql, resp=_resp(spark, sf_dir), utt=_utt(spark, sf_dir))
+
+
+@query("covered_sessions", duck(rel.covered_sql, **UR))
+def covered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.covered_sql, resp=_resp(spark, sf_dir), utt=_utt(spark, sf_dir))
+
+
+@query("annotated_utterances", duck(rel.annotated_sql, **A))
+def annotated_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.annotated_sql, utt=_utt(spark, sf_dir), ann=_ann(spark, sf_dir))
+
+
+@query("session_extremes", duck(rel.extremes_sql, **U))
+def session_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.extremes_sql, utt=_utt(spark, sf_dir))
+
+
+@query("first_responses", duck(rel.distinct_sql, resp=frames.RESP))
+def first_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.distinct_sql, resp=_resp(spark, sf_dir))
+
+
+@query("session_sets", duck(rel.union_sql, **UR))
+def session_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.union_sql, utt=_utt(spark, sf_dir), resp=_resp(spark, sf_dir))
+
+
+@query("event_log", duck(rel.answer_log_sql, events="select * from events"))
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(rel.answer_log_sql, events=read(spark, sf_dir, "events"))
