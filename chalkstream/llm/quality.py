@@ -48,36 +48,43 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = [c for c in documents.columns if c not in FEATURES]
-    common = "|".join(sorted(set(COMMON.split())))
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(COMMON.split())):
+        by.setdefault(w[0], []).append(w[1:])
+    common = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by.items())  # each first letter is tried once
     base = documents.select(*[F.col(f"`{c}`") for c in own], t.alias("__t"), F.lower(t).alias("__l"))
     base = base.withColumns(
         {
-            "n_words": F.regexp_count("__t", F.lit(_WORD)),
             "__solid": F.length(F.regexp_replace("__t", r"[\s ]+", "")),
             "__alnum": F.length(F.regexp_replace("__t", r"[^\p{L}\p{N}]+", "")),
             "__lines": F.filter(F.split("__t", r"\r\n|[\r\n]"), lambda x: x.rlike(r"[^\s ]")),
         }
     )
-    base = base.withColumn("__chars", F.aggregate("__lines", F.lit(0), lambda a, x: a + F.length(x)))
+    # the words alone, each between single spaces: patterns that begin with a space are tried at words only
+    found = F.regexp_extract_all("__l", F.lit(f"({_WORD})"), F.lit(1))
+    base = base.withColumn("__words", found).withColumn("__w", F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")))
+    base = base.withColumn("n_words", F.size("__words")).withColumn("__chars", F.aggregate("__lines", F.lit(0), lambda a, x: a + F.length(x)))
     n, solid, lines, chars = F.col("n_words"), F.col("__solid"), F.col("__lines"), F.col("__chars")
-    by_word = lambda pattern: F.when(n > 0, F.least(F.regexp_count("__l", F.lit(pattern)) / n, F.lit(1.0))).otherwise(0.0)
+    by_word = lambda pattern: F.when(n > 0, F.least(F.regexp_count("__w", F.lit(pattern)) / n, F.lit(1.0))).otherwise(0.0)
     stats = {
         "mean_word_length": F.when(n > 0, F.col("__alnum") / n).otherwise(0.0),
         "symbol_ratio": F.when(solid > 0, (solid - F.col("__alnum")) / solid).otherwise(0.0),
         "punct_line_share": F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;]['\"”’)\]]*[\s ]*$"))) / F.size(lines)).otherwise(0.0),
-        "common_share": by_word(rf"(?<![\p{{L}}\p{{N}}])(?:{common})(?![\p{{L}}\p{{N}}])"),
+        "common_share": by_word(rf" (?:{common})(?= )"),
         "mark_share": F.when(F.size(F.filter(lines, lambda x: x.rlike(_MARK))) > 1, _share(lines, chars, _MARK)).otherwise(0.0),
         "cell_share": _share(lines, chars, _CELLS),
         "short_share": _share(lines, chars, rf"^[^\p{{L}}\p{{N}}]*(?:{_WORD}[^\p{{L}}\p{{N}}.!?]+){{0,6}}(?:{_WORD})?[^\p{{L}}\p{{N}}.!?]*$"),
-        "nav_share": by_word(rf"(?<![\p{{L}}\p{{N}}])(?:{NAVIGATION})(?![\p{{L}}\p{{N}}])"),
-        "distinct_share": F.when(n > 0, F.size(F.array_distinct(F.regexp_extract_all("__l", F.lit(f"({_WORD})"), F.lit(1)))) / n).otherwise(0.0),
-        "odd_share": by_word(r"[bcdfghjklmnpqrstvwxz]{5,}|(?<!\p{L})[bcdfghjklmnpqrstvwxz]{3,}(?!\p{L})|[bcdfghjklmnpqrstvwxz]{2}[jqvxz]|(?<!\p{L})[\p{L}]*\p{N}+\p{L}+[\p{L}\p{N}]{2,}"),
+        "nav_share": by_word(rf" (?:{NAVIGATION})(?= )"),
+        "distinct_share": F.when(n > 0, F.size(F.array_distinct("__words")) / n).otherwise(0.0),
+        "odd_share": by_word(r"[bcdfghjklmnpqrstvwxz]{5,}| [bcdfghjklmnpqrstvwxz]{3,4}(?= )|[bcdfghjklmnpqrstvwxz]{2}[jqvxz]| \p{L}*+\p{N}+\p{L}[\p{L}\p{N}]{2,}"),
         "long_share": F.when(solid > 0, F.length(F.array_join(F.regexp_extract_all("__t", F.lit(r"(\S{30,})"), F.lit(1)), "")) / solid).otherwise(0.0),
         "tag_share": F.when(solid > 0, F.length(F.array_join(F.regexp_extract_all("__t", F.lit(r"(<[^<>\n]{1,200}>|\{[^{}\n]{1,200}\}|[\x{fffd}ÃÂ¤¶§±þ€\x{7f}])"), F.lit(1)), "")) / solid).otherwise(0.0),
         "broken_share": F.when(n > 0, F.least(F.regexp_count("__t", F.lit(r"\p{Ll}\p{Lu}|\p{L}[.,:;!?]\p{Ll}")) / n, F.lit(1.0))).otherwise(0.0),
         "comma_rate": F.when(n > 0, F.least(F.regexp_count("__t", F.lit(r"[,;/·|»]")) / n, F.lit(2.0))).otherwise(0.0),
     }
-    return base.withColumns(stats).select(*[F.col(f"`{c}`") for c in own], "n_words", *[c for c in FEATURES if c != "n_words"])
+    done = base.withColumns(stats).select(*[F.col(f"`{c}`") for c in own], "n_words", *[c for c in FEATURES if c != "n_words"])
+    # through an array, so that a filter on what follows is not pushed down to compute every feature again
+    return done.select(F.explode_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in done.columns]))).alias("__row")).select("__row.*")
 
 
 _FITTED: dict[tuple[int, int], list[Rule]] = {}
