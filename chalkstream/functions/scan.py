@@ -51,9 +51,9 @@ def with_halo(df: DataFrame, index: str = "i") -> DataFrame:
 
 
 def running_sum(df: DataFrame, part: str, block: str, order: list[Column | str], value: str, out: str) -> DataFrame:
-    """df with out: the sum of value over this row and all rows of part before it, block by block as in running_max."""
+    """df with out: the sum of value over this row and all rows of part before it, block by block; nulls count as 0."""
     w = W.partitionBy(part, block).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     past = W.partitionBy(part).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     sums = df.groupBy(part, block).agg(F.sum(value).alias("__s")).select(part, block, F.coalesce(F.sum("__s").over(past), F.lit(0)).alias("__o"))
     near = df.withColumn("__r", F.sum(value).over(w))
-    return near.join(sums, [part, block]).withColumn(out, F.col("__r") + F.col("__o")).drop("__r", "__o")
+    return near.join(sums, [part, block]).withColumn(out, F.coalesce("__r", F.lit(0)) + F.col("__o")).drop("__r", "__o")
