@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from chalkstream.functions.dialect import DUCK, duck, run
 from chalkstream.operators import annotations as ann
 from chalkstream.operators import difficulty as diff
-from chalkstream.operators import frames, profiles, scoring
+from chalkstream.operators import frames, hooks, integrity, models, profiles, scoring
 from chalkstream.operators import objectives as lo
 from chalkstream.operators import sequences as seq
 from chalkstream.operators import relations as rel
 from chalkstream.operators import soft, texts
 from chalkstream.plans.registry import query
-from chalkstream.session import read
+from chalkstream.session import cut, read
 
 
 @query("session_profile", duck(profiles.session_profile_sql, utt=frames.UTT))
@@ -416,3 +416,73 @@ def session_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("event_log", duck(rel.answer_log_sql, events="select * from events"))
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(rel.answer_log_sql, events=read(spark, sf_dir, "events"))
+
+
+# models and hooks
+
+
+@query("text_model_scores")
+def text_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of objective text and id for every labelled response, three folds by the objective's hash."""
+    rows = run(rel.labelled_sql, resp=_resp(spark, sf_dir), labels=frames.labels(spark, sf_dir)).join(_resp(spark, sf_dir).select("response_id", "lo_text"), "response_id")
+    rows = cut(rows.withColumn("fold", F.pmod(F.xxhash64("lo_id"), F.lit(3)).cast("int")))
+    return models.out_of_fold(rows, models.text_pipeline(), 3).select("response_id", "fold", "p")
+
+
+@query("learned_difficulty")
+def learned_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"), (F.col("label") >= 5).cast("double").alias("rate"), F.lit(1).alias("n"))
+    return models.learned_difficulty(v, 0.5)
+
+
+_KINDS = ("explain", "answer", "prompt")
+
+
+_HEADS = f"""with utt as ({frames.UTT}), talk as ({frames.TALK}), coef(code, term, w) as (values ('explain', 'because', 2.0), ('explain', 'reason', 1.5), ('answer', 'answer', 2.5), ('answer', 'equals', 1.0), ('prompt', 'why', 2.0), ('prompt', 'how', 1.5), ('prompt', 'what', 0.5)),
+ t as (select session_id, i, unnest(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'))) as term from talk), z as (select session_id, i, code, sum(w) as z from t join coef using (term) group by all), k(code) as (values ('explain'), ('answer'), ('prompt'))
+ select session_id, code, round(avg(1 / (1 + exp(-(coalesce(z, 0) - 2.0)))), 6) as rate, count(*) as n from (select session_id, i, code from talk, k) g left join z using (session_id, i, code) group by 1, 2"""
+
+
+@query("linear_head_probabilities", _HEADS)
+def linear_head_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic heads over the words of every utterance of talk, with a small coefficient table, summed by session and code."""
+    coef = spark.createDataFrame([("explain", "because", 2.0), ("explain", "reason", 1.5), ("answer", "answer", 2.5), ("answer", "equals", 1.0), ("prompt", "why", 2.0), ("prompt", "how", 1.5), ("prompt", "what", 0.5)], "code string, term string, w double")
+    said = _talk(spark, sf_dir).where("own").select("session_id", F.concat_ws("|", "session_id", "i").alias("row"), "content")
+    p = models.linear_heads(said, "row", "content", coef, spark.createDataFrame([(k, -2.0) for k in _KINDS], "code string, b double"))
+    return p.groupBy(F.substring_index("row", "|", 1).alias("session_id"), "code").agg(F.round(F.avg("p"), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+
+
+@query("prompt_texts")
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotator's prompt of each session, within its budget."""
+    said = _talk(spark, sf_dir).where("own").select("session_id", "i", "content")
+    return hooks.prompts(said, "Classify these utterances:").select("session_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("annotator_answers", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as uid, upper(event_type) as code from events")
+def annotator_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of event properties read in whatever shape, beside the same field by JSON path."""
+    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"utterance_id": '), F.get_json_object("props", "$.k"), F.lit(', "code": "'), F.upper("event_type"), F.lit('"}')).alias("t"), F.array("event_id").alias("ids"))
+    return texts.annotator_codes(e, "t", "ids").select("event_id", F.col("codes")[0]["utterance_id"].alias("uid"), F.col("codes")[0]["code"].alias("code"))
+
+
+@query("scored_texts", f"select response_id, round(length(lo_text) / (length(lo_text) + 40.0), 6) as p from ({frames.RESP}) r")
+def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer called in batches of like length over objective texts; here the length itself, squashed."""
+    texts_ = _resp(spark, sf_dir).select("response_id", "lo_text")
+    return hooks.scored(texts_, "response_id", "lo_text", lambda: lambda b: [len(x) / (len(x) + 40.0) for x in b]).select("response_id", F.round("p", 6).alias("p"))
+
+
+_SHUFFLE = f"""with d as (select distinct lo_id from ({frames.RESP}) r), a as (select lo_id, row_number() over (order by md5('0|' || lo_id)) as k from d), b as (select lo_id as other, row_number() over (order by md5('18|' || lo_id)) as k from d) select lo_id, other from a join b using (k)"""
+
+
+@query("control_shuffle", _SHUFFLE)
+def control_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bijection of objectives onto themselves, for controls that must not help."""
+    return integrity.shuffled(_resp(spark, sf_dir), "lo_id", 17)
+
+
+@query("fold_fingerprint")
+def fold_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of all fold assignments, the same in any order."""
+    return spark.createDataFrame([(integrity.frozen_hash(diff.greedy_folds(read(spark, sf_dir, "orders"), "o_custkey"), "o_custkey", "fold"),)], "sha256 string")
