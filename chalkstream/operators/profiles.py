@@ -47,7 +47,7 @@ s as (select session_id, count(*) as n_utterances, count_if(stu) as n_student, c
   coalesce(avg(case when tut then w end), 0) as tutor_words_per_turn, count_if(stu and only_unclear) as student_unclear_only, coalesce(sum(case when stu then unclear end), 0) as student_unclear, sum(ph) as tutor_ph_count,
   coalesce(sum(case when stu then ph end), 0) as student_ph, coalesce(sum(case when tut then ph end), 0) as tutor_ph, coalesce(sum(case when tut then calls end), 0) as tutor_name_calls, coalesce(sum(case when late and stu then w end), 0) as late_student_words,
   coalesce(sum(case when late and stu then q end), 0) as late_student_questions, coalesce(sum(case when late and tut then q end), 0) as late_tutor_questions, count_if(late and stu) as late_student, count_if(late and stu and w <= 3) as late_short,
-  {counts}, count_if(tut and restates) as tutor_restating, count_if(stu and explains) as student_explains from h group by session_id)
+  {counts}, count_if(tut and coalesce(restates, false)) as tutor_restating, count_if(stu and explains) as student_explains from h group by session_id)
 select s.session_id, n_utterances, n_student, n_tutor, n_background, cast(student_words as bigint) as student_words, cast(tutor_words as bigint) as tutor_words, {r6('student_words / (tutor_words + 1.0)')} as student_tutor_word_ratio, cast(total_chars as bigint) as total_chars,
  cast(n_question_marks as bigint) as n_question_marks, cast(n_unclear as bigint) as n_unclear, {r6('session_duration_secs')} as session_duration_secs, {r6('avg_pause_secs')} as avg_pause_secs, n_long_pauses, {r6('avg_student_pause_secs')} as avg_student_pause_secs,
  {r6('student_words_per_turn')} as student_words_per_turn, {r6('student_words_var')} as student_words_var, cast(student_max_turn_words as bigint) as student_max_turn_words, student_short_turns, {r6(rate('student_short_turns', 'n_student'))} as student_short_turn_ratio,
