@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,16 +41,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_CUT: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and written where the loss of an executor loses nothing.
 
-    The table lies under the checkpoint folder of the application, which outlives no cluster; uncut() drops it sooner.
+    The table lies under the checkpoint folder of the application. It is dropped when Python ends, or sooner by uncut().
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if not _CUT:
+        atexit.register(_drop_all)
+    _CUT[path] = spark
     return out
 
 
@@ -57,9 +64,20 @@ def uncut(df: DataFrame) -> None:
     """Drops what cut() wrote; for tables that no later plan reads."""
     path = getattr(df, "_cut_path", None)
     if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _drop(path, _CUT.pop(path, df.sparkSession))
+
+
+def _drop(path: str, spark: SparkSession) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_all() -> None:
+    for path, spark in _CUT.items():
+        try:
+            _drop(path, spark)
+        except Exception:  # the session has ended before; its folder is the cluster's to clear
+            return
 
 
 _SHIPPED: set[str] = set()
