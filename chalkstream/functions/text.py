@@ -21,3 +21,12 @@ def overlap(a: Column, b: Column) -> Column:
 def words(text: Column, least: int = 1) -> Column:
     """Lower-cased runs of letters and digits of any script, of at least so many characters."""
     return F.regexp_extract_all(F.lower(text), F.lit(rf"([\p{{L}}\p{{N}}]{{{least},}})"), F.lit(1))
+
+
+#: Spaces that \\s of Java's patterns does not match.
+ODD_SPACES = "\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
+
+
+def plain_spaces(text: Column) -> Column:
+    """The text with a plain space for every odd one; lengths and places stay as they are."""
+    return F.when(text.rlike("[\\u00a0\\u2002\\u2003\\u2007\\u2009\\u202f\\u3000]"), F.translate(text, ODD_SPACES, " " * len(ODD_SPACES))).otherwise(text)
