@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkstream.functions.text import plain_spaces
 from chalkstream.llm.boost import Boosted
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -228,6 +229,7 @@ def gate(text: Column) -> Column:
     The patterns begin with a class of characters where they can, and look behind only after it, which keeps the search
     fast where nothing is found.
     """
+    text = plain_spaces(text)
     given = _trie(sorted((_GIVEN - {"asa"}) | {"bj[öÖ]rk", "jos[éÉ]", "ren[éÉ]e", "si[âÂ]n", "zo[ëË]", "asa"})) + "|[åÅ]sa"
     streets = "|".join(sorted(STREETS))
     tails = "|".join(sorted({w[1:] for w in (*_SMALL, *_TENS, "hundred")}))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chalkstream.functions.scan import running_max
-from chalkstream.functions.text import seconds
+from chalkstream.functions.text import plain_spaces, seconds
 from chalkstream.llm.conversations import BLOCK_BITS, LATE, clean_role
 
 KINDS = ("stamp", "sound", "label", "filler")
@@ -54,9 +54,11 @@ def cleaned(rows: DataFrame, text: str = "content") -> DataFrame:
     """rows with clean, the words that were said, noise, the kinds of noise that were taken out, and said_at, labels.
 
     Each step takes what the one before leaves: stamps, notes of sounds, labels, hesitations. said_at is the first
-    stamp in the text in seconds, labels the speakers the text names, by line. Null text stays null, without noise.
+    stamp in the text in seconds, labels the speakers the text names, by line. Odd spaces count as plain ones.
+    Null text stays null, without noise.
     """
-    x = F.col(text)
+    rows = rows.withColumn("__x", plain_spaces(F.col(text)))
+    x = F.col("__x")
 
     def drop(old: str | Column, pattern: str, gate: Column) -> Column:
         old = F.col(old) if isinstance(old, str) else old

@@ -10,7 +10,7 @@ FOUND = {
     "call my mum on 07700 900 133": {"phone"}, "text me, oh double seven double oh nine double oh six one oh": {"phone"}, "(548) 555-0144 is the house phone": {"phone"},
     "my national insurance number is QQ 12 34 56 C": {"id_number"}, "passport no nine eight nine five nine eight seven eight four": {"id_number"}, "SSN 000-52-4328": {"id_number"}, "the nurse wrote 999 700 3663 as my NHS no": {"id_number"},
     "I live at 55 Dravby Parade": {"address"}, "come round to forty two Vinery Parade after school": {"address"}, "our address is flat 14, 72 saint ruskton street": {"address"},
-    "my name is Priya Orlaro": {"name"}, "my teacher is Mr Voskescu": {"name"}, "it's down as O'Eldington, Esme on the list": {"name"}, "tobias ranjfen is my little brother": {"name"},
+    "my name is Priya Orlaro": {"name"}, "my teacher is Mr Voskescu": {"name"}, "it's down as O'Eldington, Esme on the list": {"name"}, "tobias ranjfen is my little brother": {"name"}, "my\u00a0name\u00a0is\u00a0Priya\u00a0Orlaro": {"name"},
     "is 999 533 4414 divisible by 15": set(), "the pattern goes 9136 5294 1808 and so on": set(), "my name is Zara": set(), "Hello Luca, how was your day?": set(), "how far is it from Otterholt Street to Gorse Close": set(),
     "there are 16 houses on the lane": set(), "quickbox dot example is the website for it": set(), "the pens are 36 @ 40p each": set(), "[EMAIL] and [PHONE]": set(), "Mr and Mrs is how it starts": set(), "": set(),
 }

@@ -18,6 +18,7 @@ NOISE = {
     "Tutor: go on": "label", "TUTOR >> go": "label", "yes\n**Speaker 2**: right": "label", "S> it is 5": "label", "(learner) x": "label",
     "um so": "filler", "so u-um yes": "filler", "Mm, yes": "filler", "it is ERM 5": "filler", "hmm... ok": "filler",
     "[laughs] ok": "sound", "yes ((door slams))": "sound", "*typing* no": "sound", "♪ music ♪": "sound", "go [bell rings then": "sound",
+    "so\u00a0um\u00a0yes": "filler", "[00:01:02]\u00a0yes": "stamp",
 }
 CLEAN = ["the film lasts 01:25:30 so how many", "the ratio is 6:7:39 in the end", "the train leaves at 09:34 and gets in at 11:31", "it is 5 mm long", "T = 2 and s = 20", "[unclear] yes", "Answer: 5", "if x < 5 and y > 3", "work out 8 * 2 * 2", "a bell rings in the corridor", "yeah okay oh", "emil.um@example.com", "", "the number 5"]
 
