@@ -154,3 +154,16 @@ def clean_rows_sql(e: Dialect, resp: str) -> str:
 def fold_rates_sql(e: Dialect, resp: str, labels: str) -> str:
     f = f"cast(least(4, floor({e.share_of('lo_id')} * 5)) as int)"
     return f"select {f} as fold, count(*) as n, {r6('avg(y)')} as base_rate, {r6('sum(y + 0.0)')} as positives from {resp} r join {labels} l on r.response_id = l.response_id group by 1"
+
+
+def flat_difficulty(near: DataFrame) -> DataFrame:
+    """query, p: the plain neighbour classifier, outcomes weighted by max(cosine, 1e-6), itself included, clipped by 1e-6."""
+    w = F.greatest("cosine", F.lit(1e-6))
+    p = F.sum(w * F.col("y")) / F.sum(w)
+    return near.groupBy("query").agg(F.round(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p)), 6).alias("p"))
+
+
+def flat_duck(k: int = 15) -> str:
+    return f"""with v as (select vec_id as id, cast(embedding as double[]) as emb, cast(label >= 5 as int) as y from embeddings),
+s as (select q.id as query, v.y, round(list_cosine_similarity(q.emb, v.emb), 12) as c, row_number() over (partition by q.id order by round(list_cosine_similarity(q.emb, v.emb), 12) desc, v.id) as rk from v q, v where q.id % 50 = 0)
+select query, round(greatest(1e-6, least(1 - 1e-6, sum(greatest(c, 1e-6) * y) / sum(greatest(c, 1e-6)))), 6) as p from s where rk <= {k} group by query"""

@@ -161,3 +161,19 @@ rk as (select s.lo_id, s.m, s.c, (k.upto - (k.ties - 1) / {'2.0D' if e.spark els
 j as (select r.response_id, r.session_id, coalesce(m, (select avg(y * {one}) from {labels})) as m, coalesce(c, 0) as c, coalesce(pr, 0.5) as pr from {resp} r left join rk on r.lo_id = rk.lo_id),
 b as (select session_id, avg(m) as sm, min(m) as lowest from j group by session_id)
 select j.response_id, {r6('m')} as lo_mean_correct, c as lo_n_sessions, {r6('pr')} as lo_difficulty_rank, {r6('m - sm')} as lo_difficulty_vs_session_mean, cast(m = lowest as int) as lo_is_hardest_in_session from j join b on j.session_id = b.session_id"""
+
+
+def assembled_sql(e: Dialect, surface: str, matched: str) -> str:
+    """Curriculum columns of an objective in three tiers: the match with statements, else rules, else unknown (0)."""
+    return f"select s.lo_md5, coalesce(m.lo_year_group, 0) as lo_year_group, coalesce(m.lo_ks_level, 0) as lo_ks_level, s.lo_topic_strand, s.lo_bloom_level, coalesce(m.lo_nc_sim, 0) as lo_nc_sim, case when m.lo_nc_sim > 0 then 'match' when s.lo_topic_strand < 5 then 'rule' else 'none' end as tier from {surface} s left join {matched} m on s.lo_md5 = m.lo_md5"
+
+
+def publisher_sql(e: Dialect, corpus: str) -> str:
+    """A publisher's corpus by normalised text: occurrences, high confidence, most co-located objectives, median year.
+
+    corpus: lo_text, confidence, co_located_los (a ;-list), year_group, source_site.
+    """
+    text = f"{e.replace('lower(trim(lo_text))', '[.]+$', '')}"
+    parts = f"{e.size(e.keep('split(co_located_los, ' + chr(39) + ';' + chr(39) + ')', 'length(v) > 0'))}" if e.spark else "cast(len(list_filter(string_split(co_located_los, ';'), lambda v: length(v) > 0)) as bigint)"
+    year = "percentile(year_group, 0.5)" if e.spark else "median(year_group)"
+    return f"select {text} as text, count(*) as n_occurrences, max(cast(confidence = 'high' as int)) as high_confidence, coalesce(max({parts}), 0) as n_co_located, {r6(f'coalesce({year}, 0)')} as year_group, max(cast(source_site = 'programmes_secondary' as int)) as is_secondary from {corpus} where lo_text is not null group by 1"

@@ -486,3 +486,25 @@ def control_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of all fold assignments, the same in any order."""
     return spark.createDataFrame([(integrity.frozen_hash(diff.greedy_folds(read(spark, sf_dir, "orders"), "o_custkey"), "o_custkey", "fold"),)], "sha256 string")
+
+
+@query("knn_difficulty_flat", diff.flat_duck())
+def knn_difficulty_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"), (F.col("label") >= 5).cast("int").alias("y"))
+    return diff.flat_difficulty(diff.nearest(v, v.where("id % 50 = 0"), exclude_self=False))
+
+
+@query("curriculum_assembly", duck(lo.assembled_sql, resp=f"select response_id, session_id, lo_id, lower(lo_text) as lo_text from ({frames.RESP}) r0", statements="select * from nc_curriculum", surface=lo.surface_sql(DUCK, "resp"), matched=lo.curriculum_sql(DUCK, "resp", "statements")))
+def curriculum_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resp = _resp(spark, sf_dir).withColumn("lo_text", F.lower("lo_text"))
+    return run(lo.assembled_sql, surface=run(lo.surface_sql, resp=resp), matched=run(lo.curriculum_sql, resp=resp, statements=read(spark, sf_dir, "nc_curriculum")))
+
+
+_CORPUS = "select concat(p_name, ' ', p_size) as lo_text, case when p_size % 2 = 0 then 'high' else 'low' end as confidence, repeat(concat(p_brand, ';'), p_size % 4) as co_located_los, cast(p_size % 13 as double) as year_group, case when p_partkey % 3 = 0 then 'programmes_secondary' else 'programmes_primary' end as source_site from {}"
+
+
+@query("publisher_corpus", duck(lo.publisher_sql, corpus=_CORPUS.format("part")))
+def publisher_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part table in the role of a publisher's corpus."""
+    read(spark, sf_dir, "part").createOrReplaceTempView("part_as_corpus")
+    return run(lo.publisher_sql, corpus=spark.sql(_CORPUS.format("part_as_corpus")))
