@@ -137,8 +137,11 @@ def candidates(text: str, words: frozenset[str]) -> list[tuple[str, int, int, li
                 ]))
     if any(c.isdigit() for c in text) or "oh" in low or "zero" in low or "double" in low or "one" in low or "nine" in low or "five" in low:
         for pattern in (_NUMERIC, _SPOKEN):
-            for m in pattern.finditer(text):
-                span = m[0].strip()
+            # a short number just before another may be no part of it: both readings are candidates
+            ends = [(m.start(), m.end()) for m in pattern.finditer(text)]
+            ends += [(at + k.end(), end) for at, end in ends if pattern is _NUMERIC and (k := re.match(r"\d{1,3}[ .]+(?=[+(\d])", text[at:end]))]
+            for at, end in ends:
+                span = text[at:end].strip()
                 said = pattern is _SPOKEN
                 lead = 0
                 if not said and re.match(r"(?i)(?:is|on|at|to|no|so|by|of|in|it|my|me|we|he|be|do|go|up|us|as|an|am|or|if|um|uh|er|hm|mm)[ -]", span):
@@ -147,11 +150,11 @@ def candidates(text: str, words: frozenset[str]) -> list[tuple[str, int, int, li
                 head = re.match(r"[A-Za-z]+", span) if not said else None
                 core = re.sub(r"(?i)\b(?:u+[hm]+|e+r+m*|h?m+)\b", "", span)
                 digits = spoken_digits(span) if said else re.sub(r"\D", "", core)
-                before, after = _near(text, m.start() + lead, m.end())
+                before, after = _near(text, at + lead, end)
                 close = before[-28:]
                 groups = [len(g) for g in re.findall(r"\d+", core)]
                 tail = not said and span[-1].isalpha()
-                out.append(("number", m.start() + lead, m.start() + len(m[0].rstrip()), [
+                out.append(("number", at + lead, at + len(text[at:end].rstrip()), [
                     len(digits), "+" in span, digits[:1] == "0", len(head[0]) if head else 0, tail, len(re.findall(r"[ ().-]+", span)) if not said else 0, len(groups), said,
                     bool(_PHONE_CUE.search(close)), bool(re.search(r"house phone|if i drop|phone", after)), bool(_ID_CUE.search(before)), bool(re.search(r"nhs|payslip|on it|next to me|my learner|passport", after)),
                     bool(_MATHS_CUE.search(close[-18:])), bool(_MATHS_CUE.search(after[:22]) or "and so on" in after), _nhs(digits), groups == [3, 2, 4] and not head,

@@ -7,7 +7,7 @@ from chalkstream.llm.utterance_samples import labelled
 
 FOUND = {
     "my email is tobias.kerrby+maths@year8.example.org": {"email"}, "write to orla dash ruskbeck2 at quickbox dot example if it breaks": {"email"}, "login: s.zannbeck[at]ormond-trust[dot]invalid": {"email"},
-    "call my mum on 07700 900 133": {"phone"}, "text me, oh double seven double oh nine double oh six one oh": {"phone"}, "(548) 555-0144 is the house phone": {"phone"},
+    "call my mum on 07700 900 133": {"phone"}, "text me, oh double seven double oh nine double oh six one oh": {"phone"}, "(548) 555-0144 is the house phone": {"phone"}, "I counted 39 07700 900 370": {"phone"}, "1-426-555-0108 is the house phone": {"phone"},
     "my national insurance number is QQ 12 34 56 C": {"id_number"}, "passport no nine eight nine five nine eight seven eight four": {"id_number"}, "SSN 000-52-4328": {"id_number"}, "the nurse wrote 999 700 3663 as my NHS no": {"id_number"},
     "I live at 55 Dravby Parade": {"address"}, "come round to forty two Vinery Parade after school": {"address"}, "our address is flat 14, 72 saint ruskton street": {"address"},
     "my name is Priya Orlaro": {"name"}, "my teacher is Mr Voskescu": {"name"}, "it's down as O'Eldington, Esme on the list": {"name"}, "tobias ranjfen is my little brother": {"name"}, "my\u00a0name\u00a0is\u00a0Priya\u00a0Orlaro": {"name"},
