@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chalkstream.functions.text import plain_spaces
+from chalkstream.functions.text import ODD_SPACES
 from chalkstream.llm.boost import Boosted
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -232,7 +232,6 @@ def gate(text: Column) -> Column:
     The patterns begin with a class of characters where they can, and look behind only after it, which keeps the search
     fast where nothing is found.
     """
-    text = plain_spaces(text)
     given = _trie(sorted((_GIVEN - {"asa"}) | {"bj[öÖ]rk", "jos[éÉ]", "ren[éÉ]e", "si[âÂ]n", "zo[ëË]", "asa"})) + "|[åÅ]sa"
     streets = "|".join(sorted(STREETS))
     tails = "|".join(sorted({w[1:] for w in (*_SMALL, *_TENS, "hundred")}))
@@ -241,6 +240,7 @@ def gate(text: Column) -> Column:
     plain = "thinking|okay|ok|hello|hi|hey|thanks|thank you|so|right|good|well|now|yes|no|yeah|great|perfect|excellent|work|done|sorry|please|bye|signed"
     parts = [
         text.contains("@"),
+        text.rlike(f"[{ODD_SPACES}]"),  # which the patterns below take for no space
         text.rlike(r"(?i)[\[(]at[\])]|\bat\s+(?:\S+\s+){1,9}dot\s"),
         text.rlike(r"\d(?:[ ().-]{0,3}(?:\p{L}+[.,]*\s)?\d){5}"),
         text.rlike(rf"[zZoOtTfFsSeEnNdD](?<!\p{{L}}.)(?i:ero|ought|h|ne|wo|hree|our|ive|ix|even|ight|ine|ouble|riple|reble)?[\s,-]+(?:[uehm-]+[.,]*\s+)?(?:(?i:{_WORDS9})[\s,-]+(?:[uehm-]+[.,]*\s+)?){{4}}"),
