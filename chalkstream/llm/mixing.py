@@ -107,13 +107,13 @@ def mix(documents: DataFrame, doc: str, targets: dict[str, tuple[float, int]], t
     scale = sum(s for s, _ in targets.values())
     whole = float(cells.tokens.sum())
     margins = {"source": {k: s / scale for k, (s, _) in targets.items()}} | {c: (cells.groupby(c).tokens.sum() / whole).to_dict() for c in ("lang", "topic")}
-    cells["weight"] = rake(cells, margins, {k: float(m) for k, (_, m) in targets.items()}, total or whole)
+    cells["__weight"] = rake(cells, margins, {k: float(m) for k, (_, m) in targets.items()}, total or whole)
     spark = documents.sparkSession
-    weights = spark.createDataFrame(cells[["source", "lang", "topic", "weight"]].sort_values(["source", "lang", "topic"]))
-    w = F.coalesce("weight", F.lit(0.0))
+    weights = spark.createDataFrame(cells[["source", "lang", "topic", "__weight"]].sort_values(["source", "lang", "topic"]))
+    w = F.coalesce("__weight", F.lit(0.0))
     drawn = documents.join(F.broadcast(weights), ["source", "lang", "topic"], "left")
     extra = (hashed_share(F.col(doc).cast("string")) < w - F.floor(w)).cast("int")
-    return drawn.withColumn("repeats", F.when(F.col("tokens") > 0, (F.floor(w) + extra).cast("int")).otherwise(0)).drop("weight")
+    return drawn.withColumn("repeats", F.when(F.col("tokens") > 0, (F.floor(w) + extra).cast("int")).otherwise(0)).drop("__weight")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

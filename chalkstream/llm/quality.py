@@ -23,9 +23,10 @@ COMMON = (
 )
 #: What is left of web pages: navigation words. Fixed values.
 NAVIGATION = r"home|log ?in|sign (?:up|in)(?: free)?|menu|cookies?|privacy(?: policy)?|terms|search|share|print|help|next(?: page)?|previous(?: page)?|back to top|accept all|subscribe|contact(?: us)?|read more|skip to content|all rights reserved|click here|loading"
-_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}]+)*"
+# repeated groups are bounded, since Java's patterns recurse into them
+_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}]+){0,4}"
 _MARK = r"^[ \t]*(?:[-*•–—»☐☑✓◦▪·‣][ \t]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[).][ \t]|\d{1,2} marks?\b)"
-_CELLS = r"^[ \t]*[|+].*[|+][ \t]*$|[^\t]\t|\t[^\t]|\S {3,}\S|^(?:[^,;\s]{0,40}[,;](?=[^\s]|$)){2,}|\|.*\|"
+_CELLS = r"^[ \t]*[|+].*[|+][ \t]*$|[^\t]\t|\t[^\t]|\S {3,}\S|^(?:[^,;\s]{0,40}[,;](?=[^\s]|$)){2}|\|.*\|"
 FEATURES = ("common_share", "symbol_ratio", "mean_word_length", "punct_line_share", "mark_share", "cell_share", "short_share", "nav_share", "distinct_share", "odd_share", "long_share", "tag_share", "comma_rate", "broken_share", "n_words")
 
 

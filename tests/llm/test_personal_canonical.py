@@ -17,7 +17,7 @@ FOUND = {
 
 
 def test_spans_and_placeholders(spark):
-    rows = [(i, t) for i, t in enumerate(FOUND)] * 2 + [(99, None), (100, "word " * 60_000 + "my name is Priya Orlaro")]
+    rows = [(i, t) for i, t in enumerate(FOUND)] * 2 + [(99, None), (100, "word " * 60_000 + "my name is Priya Orlaro")] + [(101 + i, x) for i, x in enumerate(("1 " * 50_000, "a.b@" * 50_000, "one " * 50_000, "at dot " * 30_000, "12 Hazel " * 20_000, "mr " * 50_000, "Hugo " * 20_000, ", " * 60_000))]
     got = personal_spans(spark.createDataFrame(rows, "id int, content string").withColumn("spans", F.lit(1)), "content").withColumn("out", redacted(F.col("content"), F.col("spans"))).collect()
     assert len(got) == len(rows)
     texts = list(FOUND)

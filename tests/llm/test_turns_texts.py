@@ -97,7 +97,7 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_raking_and_mixing(spark):
-    docs = spark.createDataFrame([(i, "abc"[i % 3] if i % 10 else None, "en" if i % 4 else "fr", "t", "word " * (5 + i % 7) if i % 13 else None) for i in range(3000)], "doc_id long, source string, lang string, topic string, text string")
+    docs = spark.createDataFrame([(i, "abc"[i % 3] if i % 10 else None, "en" if i % 4 else "fr", "t", "word " * (5 + i % 7) if i % 13 else None) for i in range(3000)], "doc_id long, source string, lang string, topic string, text string").withColumn("weight", F.lit("clash")).withColumn("repeats", F.lit(9))
     counted = count_tokens(docs, "text")
     assert counted.where("text is null and tokens > 0").count() == 0 and counted.where("text is not null and tokens = 0").count() == 0
     targets = {"a": (0.6, 3), "b": (0.3, 2), "c": (0.1, 1), "none": (0.2, 1)}
@@ -126,7 +126,7 @@ def test_kinds_held_out(spark):
 
 
 def test_kinds_of_odd_texts(spark):
-    texts = [None, "", " \n\t", "word", "a, b, c", "x" * 100_000, "The answer is five because we add two and three to it."]
+    texts = [None, "", " \n\t", "word", "a, b, c", "x" * 100_000, "The answer is five because we add two and three to it.", "a'" * 100_000, "a," * 100_000, "one " * 100_000, "<b>" * 50_000, "1. x\n" * 50_000, " " * 100_000]
     rows = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "id int, text string, n_words int")
     got = {r.id: r for r in text_kinds(rows).collect()}
     assert len(got) == len(texts) and [got[i].kind for i in (0, 1, 2, 6)] == ["junk", "junk", "junk", "prose"]
@@ -138,3 +138,9 @@ def test_kinds_of_odd_texts(spark):
 @pytest.mark.parametrize("text,share", [("The cat, it sat.", 2 / 13), ("", 0.0), ("...", 1.0)])
 def test_symbol_ratio(spark, text, share):
     assert abs(text_statistics(spark.createDataFrame([(text,)], "text string")).first().symbol_ratio - share) < 1e-9
+
+
+@pytest.mark.parametrize("text", ["um " * 60_000, "[" * 100_000, "00:00:01 " * 30_000, "Tutor: " * 30_000, "Tutor: x\n" * 30_000, "(laughs" * 30_000, ":" * 100_000, "s]" * 60_000])
+def test_noise_in_very_long_texts(spark, text):
+    df = spark.createDataFrame([("s", 1, "tutor", text, "00:00:01")], "session_id string, utterance_id long, role string, content string, ts string")
+    assert noise(df).count() <= 4 and speaker_turns(df).count() <= 30_000
