@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkstream.functions.keys import WHITE
 from chalkstream.llm.rules import Rule, decide, irep
 from chalkstream.llm.samples import labelled
 
@@ -49,21 +50,17 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = [c for c in documents.columns if c not in FEATURES]
-    by: dict[str, list[str]] = {}
-    for w in sorted(set(COMMON.split())):
-        by.setdefault(w[0], []).append(w[1:])
-    common = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by.items())  # each first letter is tried once
     base = documents.select(*[F.col(f"`{c}`") for c in own], t.alias("__t"), F.lower(t).alias("__l"))
     base = base.withColumns(
         {
-            "__solid": F.length(F.regexp_replace("__t", r"[\s ]+", "")),
-            "__alnum": F.length(F.regexp_replace("__t", r"[^\p{L}\p{N}]+", "")),
+            "__solid": F.length(F.translate("__t", WHITE, "")),
             "__lines": F.filter(F.split("__t", r"\r\n|[\r\n]"), lambda x: x.rlike(r"[^\s ]")),
         }
     )
     # the words alone, each between single spaces: patterns that begin with a space are tried at words only
     found = F.regexp_extract_all("__l", F.lit(f"({_WORD})"), F.lit(1))
     base = base.withColumn("__words", found).withColumn("__w", F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")))
+    base = base.withColumn("__alnum", F.length(F.translate(F.array_join("__words", ""), "'’", "")))
     base = base.withColumn("n_words", F.size("__words")).withColumn("__chars", F.aggregate("__lines", F.lit(0), lambda a, x: a + F.length(x)))
     n, solid, lines, chars = F.col("n_words"), F.col("__solid"), F.col("__lines"), F.col("__chars")
     by_word = lambda pattern: F.when(n > 0, F.least(F.regexp_count("__w", F.lit(pattern)) / n, F.lit(1.0))).otherwise(0.0)
@@ -71,7 +68,7 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         "mean_word_length": F.when(n > 0, F.col("__alnum") / n).otherwise(0.0),
         "symbol_ratio": F.when(solid > 0, (solid - F.col("__alnum")) / solid).otherwise(0.0),
         "punct_line_share": F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;]['\"”’)\]]*[\s ]*$"))) / F.size(lines)).otherwise(0.0),
-        "common_share": by_word(rf" (?:{common})(?= )"),
+        "common_share": F.when(n > 0, F.size(F.filter("__words", lambda x: x.isin(*sorted(set(COMMON.split()))))) / n).otherwise(0.0),
         "mark_share": F.when(F.size(F.filter(lines, lambda x: x.rlike(_MARK))) > 1, _share(lines, chars, _MARK)).otherwise(0.0),
         "cell_share": _share(lines, chars, _CELLS),
         "short_share": _share(lines, chars, rf"^[^\p{{L}}\p{{N}}]*(?:{_WORD}[^\p{{L}}\p{{N}}.!?]+){{0,6}}(?:{_WORD})?[^\p{{L}}\p{{N}}.!?]*$"),
