@@ -112,12 +112,25 @@ select session_id, {r6(f'count_if(tut and cr and coalesce(confirm_at > i, false)
 def neighbours_sql(e: Dialect, utt: str) -> str:
     """As-of look-ups: the latest text of the other role before a row, the first tutor row after it, and adjacent roles.
 
-    Strictly before and after; rows further than a halo of 64 are not seen. Missing is ''.
+    Strictly before and after, however far; missing is ''. Spark looks within a row's block, then at what the blocks
+    before end with and those after begin with, carried by windows over one row a block. DuckDB's frames are of 64 rows,
+    so the two differ where an answer is farther.
     """
-    back, ahead = f"({e.w} rows between 64 preceding and 1 preceding)", f"({e.w} rows between 1 following and 64 following)"
-    other = lambda role: e.last(f"case when role = '{role}' then content end", back)
-    return f"""select session_id, i, role, coalesce(case role when 'student' then {other('tutor')} when 'tutor' then {other('student')} end, '') as other_before, coalesce({e.first("case when role = 'tutor' then content end", ahead)}, '') as tutor_after,
- lag(role) over ({e.w}) as role_before, lead(role) over ({e.w}) as role_after, coalesce(max(cast({e.has('content', 'confusion')} as int)) over ({e.w} rows between 2 preceding and 2 following), 0) as near_confusion, own from {utt}"""
+    tutor, student = (f"case when role = '{role}' then content end" for role in ("tutor", "student"))
+    if e.spark:
+        back, ahead = f"({e.w} rows between unbounded preceding and 1 preceding)", f"({e.w} desc rows between unbounded preceding and 1 preceding)"
+        past, future = (f"(partition by session_id order by blk{d} rows between unbounded preceding and 1 preceding)" for d in ("", " desc"))
+        far = f"""with ends as (select session_id, blk, max_by(content, i) filter (where role = 'tutor') as tutor_last, max_by(content, i) filter (where role = 'student') as student_last, min_by(content, i) filter (where role = 'tutor') as tutor_first from {utt} where own group by session_id, blk),
+carried as (select session_id, blk, {e.last('tutor_last', past)} as tutor_far, {e.last('student_last', past)} as student_far, {e.last('tutor_first', future)} as next_far from ends)
+"""
+        before, after = {"tutor": f"coalesce({e.last(tutor, back)}, tutor_far)", "student": f"coalesce({e.last(student, back)}, student_far)"}, f"{e.last(tutor, ahead)}, next_far"
+        rows = f"{utt} left join carried using (session_id, blk)"
+    else:
+        back, ahead = f"({e.w} rows between 64 preceding and 1 preceding)", f"({e.w} rows between 1 following and 64 following)"
+        far, rows = "", utt
+        before, after = {"tutor": e.last(tutor, back), "student": e.last(student, back)}, e.first(tutor, ahead)
+    return f"""{far}select session_id, i, role, coalesce(case role when 'student' then {before['tutor']} when 'tutor' then {before['student']} end, '') as other_before, coalesce({after}, '') as tutor_after,
+ lag(role) over ({e.w}) as role_before, lead(role) over ({e.w}) as role_after, coalesce(max(cast({e.has('content', 'confusion')} as int)) over ({e.w} rows between 2 preceding and 2 following), 0) as near_confusion, own from {rows}"""
 
 
 def neighbours_own_sql(e: Dialect, near: str) -> str:
