@@ -32,10 +32,19 @@ def session_profile_sql(e: Dialect, utt: str) -> str:
     counts = ", ".join(f"count_if(tut and m_{c}) as {c}" for c in TUTOR_MOVES)
     rate = lambda a, b: f"case when {b} > 0 then {a} * {'1.0D' if e.spark else '1.0'} / {b} else 0.0 end"
     ttr = f"select session_id, count(distinct t) as types, count(*) as tokens from (select session_id, {e.explode(e.words('content'))} as t from {utt} where own and role = 'student') x group by session_id"
+    own_secs = "case when stu then secs_loose end"
+    if e.spark:  # what earlier blocks end with, by a window over one row a block
+        past = "(partition by session_id order by blk rows between unbounded preceding and 1 preceding)"
+        far = f"""ends as (select session_id, blk, max_by(secs_loose, i) filter (where secs_loose is not null) as last_secs, max_by(secs_loose, i) filter (where role = 'student' and secs_loose is not null) as last_own from {utt} where own group by session_id, blk),
+carried as (select session_id, blk, {e.last('last_secs', past)} as far_secs, {e.last('last_own', past)} as far_own from ends),
+"""
+        before, own_before, timed = f"coalesce({e.last('secs_loose', 'a')}, far_secs)", f"coalesce({e.last(own_secs, 'a')}, far_own)", "f left join carried using (session_id, blk)"
+    else:
+        far, before, own_before, timed = "", e.last("secs_loose", "a"), e.last(own_secs, "a"), "f"
     return f"""
 with f as (select *, role = 'student' as stu, role = 'tutor' as tut, {e.size(e.found('content', '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+'))} as w, {e.count('content', '[?]')} as q, {e.count('lower(content)', L.PATTERNS['unclear'])} as unclear,
   {e.count('lower(content)', L.PATTERNS['tutor_placeholder'])} as ph, {e.without(e.words('content'), stops)} as toks, i >= greatest(1, floor(0.8 * n)) as late from {utt}),
-g as (select *, secs_loose - {e.last('secs_loose', 'a')} as pause, case when stu then secs_loose - {e.last('case when stu then secs_loose end', 'a')} end as own_pause, lag(toks) over b as before, lag(role) over b as role_before from f
+{far}g as (select *, secs_loose - {before} as pause, case when stu then secs_loose - {own_before} end as own_pause, lag(toks) over b as before, lag(role) over b as role_before from {timed}
   window a as ({e.w} rows between unbounded preceding and 1 preceding), b as ({e.w})),
 h as (select *{moves}, {e.has('content', 'praise')} as praise, {e.has('content', 'student_explains')} as explains, {names} as calls, {e.matches('content', chr(94) + chr(92) + 's*' + L.PATTERNS['unclear'] + chr(92) + 's*$')} as only_unclear,
   role_before = 'student' and {e.size('before')} >= 3 and {e.size(e.both('before', 'toks'))} > 0.6 * {e.size('before')} as restates from g where own),

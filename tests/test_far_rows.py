@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chalkstream.functions.dialect import run
 from chalkstream.functions.scan import with_halo
+from chalkstream.operators import profiles
 from chalkstream.operators import sequences as seq
 
 
@@ -38,3 +39,21 @@ def test_neighbours_however_far(spark, long_talk):
             after = long_talk[k][1]
     got = run(seq.neighbours_own_sql, near=run(seq.neighbours_sql, utt=framed(spark, long_talk))).orderBy("i").collect()
     assert [[r.other_before, r.tutor_after] for r in got] == want
+
+
+@pytest.mark.parametrize("gap", [70, 4300, 9000])
+def test_interactions_however_far(spark, gap):
+    # every attempt is confirmed, and the question answered at length, beyond a run of other rows
+    said = [("tutor", "what do you think?"), *[("background", "noise")] * gap, ("student", "i think that it must be 12"), *[("", "")] * gap, ("tutor", "exactly"), *[("background", "noise")] * gap]
+    got = run(seq.interactions_sql, utt=framed(spark, said)).first()
+    assert (got.answer_confirmed_rate, got.funnel_rate) == (1.0, 1.0)
+    said[gap + 1] = ("student", "ok")
+    assert run(seq.interactions_sql, utt=framed(spark, said)).first().funnel_rate == 0.0
+
+
+def test_pauses_however_far(spark):
+    n = 9000
+    utt = framed(spark, [("student", "yes"), ("tutor", "no"), *[("background", "")] * n, ("student", "so")])
+    at = F.when(F.col("i") == 0, 10.0).when(F.col("i") == 1, 30.0).when(F.col("i") == n + 2, 100.0)
+    got = profiles.session_profile(utt.withColumn("secs_loose", at)).first()
+    assert (got.avg_pause_secs, got.n_long_pauses, got.avg_student_pause_secs) == (45.0, 1, 90.0)
