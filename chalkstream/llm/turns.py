@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chalkstream.functions.scan import running_max
 from chalkstream.functions.text import plain_spaces, seconds
 from chalkstream.llm.conversations import BLOCK_BITS, LATE, clean_role
+from chalkstream.session import cut
 
 KINDS = ("stamp", "sound", "label", "filler")
 
@@ -92,9 +93,12 @@ def speaker_turns(rows: DataFrame) -> DataFrame:
     no cycle, so position, time and line are a topological order. Neighbours of one role are merged to a turn; role
     is the line's own label where it names one, else the row's. A label such as Speaker 2 names nobody.
 
-    Segments without words are left out, as are rows with null session or text. Exact repeats count once. A turn ends
-    where a block of 4,096 positions ends, so that no group is unbounded; continued says that the next block's first
-    turn may go on with it.
+    Segments without words are left out, as are rows with null session or text, and segments that neither a label nor
+    the row gives to student or tutor, such as background and null roles; what stands around them is merged. Exact
+    repeats count once. Turns are numbered from 1.
+
+    Turns are first built within blocks of 4,096 positions. Roles alternate within a block, so a window over one row a
+    block tells which blocks go on with the turn before, and only the pieces at such edges are grouped again.
     """
     once = rows.where("session_id is not null and content is not null").select("session_id", "utterance_id", clean_role(F.col("role")).alias("role"), "content", seconds(F.col("ts")).alias("secs"))
     once = once.withColumn("block", F.shiftright(F.coalesce("utterance_id", F.lit(LATE)), BLOCK_BITS)).repartition("session_id", "block").dropDuplicates()
@@ -115,7 +119,23 @@ def speaker_turns(rows: DataFrame) -> DataFrame:
     w = W.partitionBy("session_id", "block").orderBy("pos", "late", "secs", "line", "role", "text")
     turn = F.sum(F.when(F.col("role") == F.lag("role").over(w), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
     numbered = segs.withColumn("k", F.row_number().over(w)).withColumn("turn", turn)
-    merged = numbered.groupBy("session_id", "block", "turn").agg(
+    built = numbered.groupBy("session_id", "block", "turn").agg(
         F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("parts"), F.min("utterance_id").alias("first_id"), F.max("utterance_id").alias("last_id"), F.count(F.lit(1)).alias("n_segments")
     )
-    return merged.select("session_id", (F.col("block") * (1 << BLOCK_BITS) + F.col("turn")).alias("turn"), "role", F.array_join("parts.text", " ").alias("text"), "first_id", "last_id", "n_segments")
+    return _joined(cut(built.withColumn("text", F.array_join("parts.text", " ")).drop("parts")))
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    """The turns of pieces within blocks: session_id, block, turn (from 1 in each block), role, text, first_id, last_id, n_segments."""
+    past = W.partitionBy("session_id").orderBy("block")
+    blocks = pieces.groupBy("session_id", "block").agg(F.max("turn").alias("m"), F.max(F.when(F.col("turn") == 1, (F.col("role") == "student").cast("int"))).alias("head"))
+    tail = F.when(F.col("m") % 2 == 1, F.col("head")).otherwise(1 - F.col("head"))
+    blocks = blocks.withColumn("on", F.coalesce(F.lag(tail).over(past) == F.col("head"), F.lit(False)).cast("int"))
+    blocks = blocks.select("session_id", "block", "m", "on", F.coalesce(F.lead("on").over(past), F.lit(0)).alias("goes_on"), F.coalesce(F.sum(F.col("m") - F.col("on")).over(past.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = pieces.join(blocks, ["session_id", "block"]).withColumn("edge", ((F.col("turn") == 1) & (F.col("on") == 1)) | ((F.col("turn") == F.col("m")) & (F.col("goes_on") == 1)))
+    placed = placed.withColumn("turn", F.col("before") + F.col("turn") - F.col("on"))
+    out = ("session_id", "turn", "role", "text", "first_id", "last_id", "n_segments")
+    again = placed.where("edge").groupBy("session_id", "turn").agg(
+        F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n_segments").alias("n_segments")
+    )
+    return placed.where("not edge").select(*out).unionByName(again.withColumn("text", F.array_join("parts.text", " ")).select(*out))
