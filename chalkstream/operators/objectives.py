@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from chalkstream.functions import lexicons as L
-from chalkstream.functions.dialect import Dialect
+from chalkstream.functions.dialect import SPARK, Dialect
+from chalkstream.functions.scan import running_sum
 from chalkstream.operators.profiles import r6
 
 
@@ -96,12 +100,37 @@ o as (select response_id, max(n) as n_turns, {r6(f'count_if(dist <= 2) * {one} /
 select r.response_id, n_turns, coalesce(cover, 0) as cover, place, gap_ask, soft_cover from {resp} r left join o on r.response_id = o.response_id"""
 
 
+#: Words on either side of a back-reference among which keywords are sought.
+NEAR_WORDS = 20
+
+
+def with_offsets(utt: DataFrame) -> DataFrame:
+    """The own rows of utt with n_words, and words_before, the number of words of the session before the row."""
+    own = utt.where("own").withColumn("n_words", F.expr(SPARK.size(SPARK.words("content"))))
+    return running_sum(own, "session_id", "blk", ["i"], "n_words", "words_before").withColumn("words_before", F.col("words_before") - F.col("n_words"))
+
+
 def history_sql(e: Dialect, utt: str, resp: str) -> str:
-    """Place in a programme: a first session, back-references among the first 40 rows, how many in all, near a keyword."""
+    """Place in a programme: a first session, back-references among the first 40 rows, how many in all, near a keyword.
+
+    Near is within NEAR_WORDS words of the joined transcript on either side, in Spark: utt has with_offsets(). Rows meet
+    back-references by spans of 64 words, and only words near one are joined with keywords. DuckDB asks for both in one row.
+    """
     one = _one(e)
+    prior, both = e.text(L.PATTERNS["prior_session"]), f"{e.size(e.both(_keywords(e, 'r.lo_text'), 'f.tk'))} > 0"
+    near = f"near as (select distinct r.response_id from {resp} r join f on r.session_id = f.session_id where f.prior_ and {both})"
+    if e.spark:
+        spans = lambda a, b: f"explode(sequence(floor(({a}) / 64), floor(({b}) / 64)))"
+        near = f"""hits as (select session_id, words_before, low, regexp_extract_all(low, {prior}, 0) as found, split(low, {prior}, -1) as rest from (select session_id, words_before, lower(content) as low from {utt} where own) x where low rlike {prior}),
+starts as (select session_id, words_before, low, explode(transform(sequence(1, size(found)), k -> length(array_join(slice(rest, 1, k), '')) + length(array_join(slice(found, 1, k - 1), '')))) as at from hits),
+places as (select distinct session_id, words_before + {e.size(e.words('left(low, at)'))} as place from starts),
+wide as (select session_id, place, {spans(f'place - {NEAR_WORDS}', f'place + {NEAR_WORDS}')} as span from places),
+spread as (select session_id, words_before as b, content, {spans('words_before', 'words_before + n_words - 1')} as span from {utt} where own and n_words > 0),
+close_by as (select distinct session_id, explode(slice(tk, cast(greatest(place - {NEAR_WORDS} - b, 0) as int) + 1, cast(greatest(place + {NEAR_WORDS} - b + 1 - greatest(place - {NEAR_WORDS} - b, 0), 0) as int))) as t from (select w.session_id, w.place, s.b, {e.words('s.content')} as tk from spread s join wide w on s.session_id = w.session_id and s.span = w.span)),
+near as (select distinct k.response_id from (select response_id, session_id, explode({_keywords(e, 'lo_text')}) as t from {resp}) k join close_by c on k.session_id = c.session_id and k.t = c.t)"""
     return f"""with f as (select session_id, i, {e.has('content', 'first_session')} as first_, {e.has('content', 'prior_session')} as prior_, {e.count('lower(content)', L.PATTERNS['prior_session'])} as np, {e.words('content')} as tk from {utt} where own),
 s as (select session_id, max(case when i < 40 then cast(first_ as int) end) as is_first, max(case when i < 40 then cast(prior_ as int) end) as prior_head, sum(np) as n_prior from f group by session_id),
-near as (select distinct r.response_id from {resp} r join f on r.session_id = f.session_id where f.prior_ and {e.size(e.both(_keywords(e, 'r.lo_text'), 'f.tk'))} > 0)
+{near}
 select r.response_id, coalesce(is_first, 0) as histpos_is_first, coalesce(prior_head, 0) as histpos_prior_head, {r6(f'ln(1 + coalesce(n_prior, 0) * {one})')} as histpos_n_prior, cast(near.response_id is not null as int) as histpos_prior_lo from {resp} r left join s on r.session_id = s.session_id left join near on r.response_id = near.response_id"""
 
 

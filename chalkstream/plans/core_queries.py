@@ -137,7 +137,7 @@ def objective_turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("programme_history", duck(lo.history_sql, **UR))
 def programme_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(lo.history_sql, utt=_utt(spark, sf_dir), resp=_resp(spark, sf_dir))
+    return run(lo.history_sql, utt=lo.with_offsets(_utt(spark, sf_dir)), resp=_resp(spark, sf_dir))
 
 
 @query("objective_surface", duck(lo.surface_sql, resp=frames.RESP))

@@ -1,11 +1,15 @@
 """Rows whose answer lies far away, in other blocks too, against plain loops over a session."""
 
+import bisect
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from chalkstream.functions import lexicons as L
 from chalkstream.functions.dialect import run
 from chalkstream.functions.scan import with_halo
-from chalkstream.operators import profiles
+from chalkstream.operators import objectives, profiles
 from chalkstream.operators import sequences as seq
 
 
@@ -57,3 +61,19 @@ def test_pauses_however_far(spark):
     at = F.when(F.col("i") == 0, 10.0).when(F.col("i") == 1, 30.0).when(F.col("i") == n + 2, 100.0)
     got = profiles.session_profile(utt.withColumn("secs_loose", at)).first()
     assert (got.avg_pause_secs, got.n_long_pauses, got.avg_student_pause_secs) == (45.0, 1, 90.0)
+
+
+def test_keywords_within_twenty_words(spark):
+    """Words are counted over the joined transcript: in rows before and after, over blocks, and not far off in one row."""
+    filler = lambda n: " ".join(["blah"] * n)
+    said = [("tutor", "we saw fractions"), *[("student", "")] * 4094, ("tutor", filler(19)), ("tutor", "Last week"), ("student", f"{filler(18)} decimals ratios"), ("tutor", f"{filler(90)} angles {filler(25)} the previous session {filler(18)} symmetry percentages")]
+    said.append(("tutor", f"{filler(25)} blast time then last time"))
+    words = re.findall(r"\w+", "\n".join(c for _, c in said).lower())
+    starts = [m.start() for m in re.finditer(r"\w+", "\n".join(c for _, c in said))]
+    places = [bisect.bisect_left(starts, m.start()) for m in re.finditer(L.PATTERNS["prior_session"], "\n".join(c for _, c in said).lower())]
+    keys = ["fractions", "decimals", "ratios", "angles", "symmetry", "percentages", "saw", "nothing", ""]
+    want = {k: int(any(k in words[max(0, p - 20) : p + 21] for p in places)) for k in keys}
+    assert sum(want.values()) == 3
+    resp = spark.createDataFrame([(k or "none", "s", "x", k) for k in keys] + [("other", "t", "x", "decimals")], "response_id string, session_id string, lo_id string, lo_text string")
+    got = {r.response_id: r.histpos_prior_lo for r in run(objectives.history_sql, utt=objectives.with_offsets(framed(spark, said)), resp=resp).collect()}
+    assert got == {k or "none": v for k, v in want.items()} | {"other": 0}
