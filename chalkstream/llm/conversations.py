@@ -70,8 +70,9 @@ def reply_links(rows: DataFrame) -> DataFrame:
     another row of its utterance_id.
 
     A window sees one block of a session; what earlier blocks end with is carried over by a window over blocks, so a
-    room with a third of all rows is spread over tasks. Only positions are carried: the first messages of a block score
-    a carried candidate by speaker alone.
+    room with a third of all rows is spread over tasks. Positions are carried, and the times and words at them are then
+    fetched from their blocks, so a carried candidate is scored as any other. Older messages are no candidates, even if
+    they share more words.
     """
     m, kinds = messages(rows), _kinds()
     w = W.partitionBy("session_id", "block").orderBy("pos", "role", "content", "secs")
@@ -84,8 +85,8 @@ def reply_links(rows: DataFrame) -> DataFrame:
     ends = m.groupBy("session_id", "block").agg(*[F.max(F.when(c, F.col("pos"))).alias(k) for k, c in kinds.items()])
     past = W.partitionBy("session_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select("session_id", "block", *[F.max(k).over(past).alias(f"c_{k}") for k in kinds]).where("c_s is not null or c_t is not null")
-    both = near.join(carried, ["session_id", "block"], "left")
-    got = {k: F.coalesce(k, F.when(F.col(f"c_{k}").isNotNull(), F.struct(F.col(f"c_{k}").alias("pos"), F.lit(None).cast("int").alias("secs"), F.lit(None).cast("array<string>").alias("said")))) for k in kinds}
+    both = near.join(_with_rows(placed, carried, kinds), ["session_id", "block"], "left")
+    got = {k: F.coalesce(k, f"c_{k}") for k in kinds}
     stu, uid, says = F.col("role") == "student", F.col("utterance_id"), F.col("says")
     same_id = uid.isNotNull() & F.col("last.utterance_id").eqNullSafe(uid)
     repeat = F.col("last.pos").eqNullSafe(F.col("pos")) & same_id.eqNullSafe(uid.isNotNull()) & F.col("last.content").eqNullSafe(F.col("content")) & F.col("last.role").eqNullSafe(F.col("role")) & F.col("last.secs").eqNullSafe(F.col("secs"))
@@ -112,6 +113,20 @@ def reply_links(rows: DataFrame) -> DataFrame:
     return done.select(*own, "first_of_id", "torn", "other_pos", F.when(keep, F.col("best.pos")).alias("parent_pos"), F.col("best.score").alias("parent_score"), F.coalesce(keep & F.col("best.crosses"), F.lit(False)).alias("crosses"))
 
 
+def _with_rows(placed: DataFrame, carried: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """carried (session_id, block, c_kind: a position or null) with the pos, secs and said of the last such row there.
+
+    Positions are sought in their own blocks, of which few are named, as most sessions are within one.
+    """
+    long = carried.select("session_id", "block", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"c_{k}").alias("pos")) for k in kinds])).alias("x")).select("session_id", "block", "x.*").where("pos is not null")
+    sought = long.groupBy("session_id", F.shiftright("pos", BLOCK_BITS).alias("block")).agg(F.collect_set("pos").alias("sought"))
+    rows = placed.join(sought, ["session_id", "block"]).where(F.array_contains("sought", F.col("pos")))
+    ends = rows.groupBy("session_id", "pos").agg(*[F.max(F.when(c, F.struct("content", "secs", "said"))).alias(k) for k, c in kinds.items()])
+    found = long.join(ends, ["session_id", "pos"])
+    pick = lambda k: F.max(F.when(F.col("kind") == k, F.struct("pos", f"{k}.secs", f"{k}.said")))
+    return found.groupBy("session_id", "block").agg(*[pick(k).alias(f"c_{k}") for k in kinds])
+
+
 def session_verdicts(links: DataFrame, named: DataFrame) -> DataFrame:
     """session_id, reason, n_messages, n_replies: every session of links or named once; reason null for one that stays.
 
