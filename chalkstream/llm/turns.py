@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chalkstream.functions.scan import running_max
 from chalkstream.functions.text import plain_spaces, seconds
-from chalkstream.llm.conversations import BLOCK_BITS, LATE, clean_role
+from chalkstream.llm.conversations import BLOCK_BITS, clean_role
 from chalkstream.session import cut
 
 KINDS = ("stamp", "sound", "label", "filler")
@@ -40,7 +39,7 @@ SOUND = "(?i)" + "|".join(
 )
 _WHO = r"(?:tutor|tutr|teacher|instructor|coach|student|pupil|learner|speaker[ _]?\d{1,2}|spk[ _]?\d{1,2})"
 #: A speaker's name at the start of a line, with the sign that makes a label of it. It is sought where stamps and sounds are gone.
-LABEL = rf"(?m)^[ \t]*(?:(?i:\*\*\s*{_WHO}\s*:?\s*\*\*\s*:?|\[\s*{_WHO}\s*\]\s*:?|\(\s*{_WHO}\s*\)\s*:?|<\s*{_WHO}\s*>\s*:?|{_WHO}\s?(?:>>?|:)|{_WHO}\s[-–—](?=\s))|[TS](?:>>?|\s?:)(?=\s|$))"
+LABEL = rf"(?m)^[ \t]*(?:(?i:\*\*[ \t]*{_WHO}[ \t]*:?[ \t]*\*\*[ \t]*:?|\[[ \t]*{_WHO}[ \t]*\][ \t]*:?|\([ \t]*{_WHO}[ \t]*\)[ \t]*:?|<[ \t]*{_WHO}[ \t]*>[ \t]*:?|{_WHO}[ \t]?(?:>>?|:)|{_WHO}[ \t][-–—](?=\s))|[TS](?:>>?|[ \t]?:)(?=\s|$))"
 #: Hesitation sounds, with the signs that trail them; mm after a number is a unit, and what is part of a name or an
 #: address is none. The first letter comes first, so that the search skips fast to where one may begin.
 FILLER = (
@@ -52,11 +51,10 @@ FILLER = (
 
 
 def cleaned(rows: DataFrame, text: str = "content") -> DataFrame:
-    """rows with clean, the words that were said, noise, the kinds of noise that were taken out, and said_at, labels.
+    """rows with noise_bits, the kinds of noise that were taken out, and __b, the text before labels go, __d, what was said.
 
-    Each step takes what the one before leaves: stamps, notes of sounds, labels, hesitations. said_at is the first
-    stamp in the text in seconds, labels the speakers the text names, by line. Odd spaces count as plain ones.
-    Null text stays null, without noise.
+    Each step takes what the one before leaves: stamps, notes of sounds, labels, hesitations. No step takes a line's end.
+    Odd spaces count as plain ones. Null text stays null, without noise.
     """
     rows = rows.withColumn("__x", plain_spaces(F.col(text)))
     x = F.col("__x")
@@ -75,48 +73,103 @@ def cleaned(rows: DataFrame, text: str = "content") -> DataFrame:
     return d.withColumn("noise_bits", F.coalesce(mask, F.lit(0)))
 
 
+#: Rows without id that come after all ids stand at this power of two and their second, or a hash where they have no time.
+LOOSE_BITS = 52
+
+
+def timing_edges(timed: DataFrame, loose: DataFrame) -> DataFrame:
+    """session_id, secs, before, after, crossed: for each time of loose, the ids that its timing edges keep it between.
+
+    timed: session_id, utterance_id, secs of rows with both; loose: session_id, secs of rows with a time only. A loose row
+    has an edge from the last id whose time is not later, and one to the first id whose time is later; an edge weighs
+    more, the closer the two times are. Dialogue edges, from each id to the next, weigh more than all. Where the first
+    id stands after the second in the dialogue, both edges and the dialogue's close a cycle, and the lighter one is
+    dropped (of equals, the later): crossed is true, and before or after null then. It is null, too, where there is no such id.
+
+    The ids of a second are summed first, so a window sees one row a second of a session.
+    """
+    clock = timed.groupBy("session_id", "secs").agg(F.max("utterance_id").alias("last_id"), F.min("utterance_id").alias("first_id")).unionByName(loose.distinct(), allowMissingColumns=True)
+    clock = clock.groupBy("session_id", "secs").agg(F.max("last_id").alias("last_id"), F.min("first_id").alias("first_id"), F.max(F.col("first_id").isNull()).alias("sought"))
+    known = F.col("last_id").isNotNull()
+    w = W.partitionBy("session_id").orderBy("secs")
+    back = w.rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy("session_id").orderBy(F.desc("secs")).rowsBetween(W.unboundedPreceding, -1)
+    both = clock.select(
+        "session_id", "secs", "sought",
+        F.last(F.when(known, F.struct("secs", F.col("last_id").alias("id"))), ignorenulls=True).over(back).alias("p"),
+        F.last(F.when(known, F.struct("secs", F.col("first_id").alias("id"))), ignorenulls=True).over(ahead).alias("s"),
+    ).where("sought")
+    crossed = F.coalesce(F.col("p.id") >= F.col("s.id"), F.lit(False))
+    first = F.col("secs") - F.col("p.secs") <= F.col("s.secs") - F.col("secs")
+    return both.select("session_id", "secs", F.when(~crossed | first, F.col("p.id")).alias("before"), F.when(~crossed | ~first, F.col("s.id")).alias("after"), crossed.alias("crossed"))
+
+
+def ordered_rows(rows: DataFrame) -> DataFrame:
+    """Each different row with its place in the topological order of what its precedence edges leave, and what was said.
+
+    rows: session_id, utterance_id, role, content, ts. Columns: session_id, utterance_id, role, noise_bits, block, pos,
+    side, secs, row (a hash), lines (label and text of each line). Rows with null session or content are left out.
+
+    Precedence edges are of three kinds. Cues: from each line of a row to the next. Dialogue: from each utterance id to
+    the next. Timing: as timing_edges, for rows without id. An edge that closes a cycle with heavier ones is dropped;
+    cues and dialogue never disagree, and times of rows with an id that fall against the dialogue are lighter than it.
+    What is left has no cycle: a row with an id stands at its id, one without just before the first id it precedes
+    (side -1), else just after the id that it follows (side 1), after all ids by time where no id is later, and after
+    those by hash without a time. Rows of one id are ordered by time and hash.
+    """
+    once = rows.where("session_id is not null and content is not null").select(
+        "session_id", "utterance_id", clean_role(F.col("role")).alias("role"), "content", seconds(F.col("ts")).alias("secs"), F.xxhash64("role", "content", "ts").alias("row")
+    )
+    uid, secs = F.col("utterance_id"), F.col("secs")
+    spoken = once.where(uid.isNotNull()).withColumns({"pos": uid, "side": F.lit(0)})
+    loose = once.where(uid.isNull())
+    edges = timing_edges(once.where(uid.isNotNull() & secs.isNotNull()).select("session_id", "utterance_id", "secs"), loose.where(secs.isNotNull()).select("session_id", "secs"))
+    held = loose.join(edges, ["session_id", "secs"], "left")
+    end = F.lit(1 << LOOSE_BITS) + F.coalesce(secs.cast("bigint"), F.lit(1 << 30) + F.pmod("row", F.lit(1 << 24)))
+    # a row later than all ids stands at the end by its own time, so that such rows are no one block
+    put = held.withColumn("pos", F.coalesce("after", F.when(F.col("crossed"), F.col("before")), end)).withColumn("side", F.when(F.col("after").isNotNull(), -1).otherwise(1))
+    placed = spoken.unionByName(put.select(spoken.columns))
+    said = cleaned(placed)
+    labels = F.transform(F.split("__b", r"\r\n|[\r\n]"), lambda x: F.regexp_extract(x, LABEL, 0))
+    texts = F.transform(F.split("__d", r"\r\n|[\r\n]"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
+    done = said.select("session_id", "utterance_id", "role", "noise_bits", F.shiftright("pos", BLOCK_BITS).alias("block"), "pos", "side", "secs", "row", F.arrays_zip(labels.alias("label"), texts.alias("text")).alias("lines"))
+    return done
+
+
 def noise(rows: DataFrame) -> DataFrame:
-    """session_id, utterance_id, kind: the utterances with an id, and each kind of noise cleaned() takes out of them."""
-    marked = cleaned(rows.where("session_id is not null and utterance_id is not null"))
+    """session_id, utterance_id, kind: of the ordered rows with an id, each kind of noise that was taken out.
+
+    rows: as for ordered_rows; role and ts may be missing.
+    """
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("role", "ts") if c not in rows.columns})
     # exploded before it is filtered: a filter on the marks would be pushed down and run every step again
     kinds = F.array_compact(F.array(*[F.when(F.col("noise_bits").bitwiseAND(1 << i) > 0, k) for i, k in enumerate(KINDS)]))
+    marked = ordered_rows(rows).where("utterance_id is not null")
     return marked.select("session_id", "utterance_id", F.explode_outer(kinds).alias("kind")).where("kind is not null").distinct()
 
 
 def speaker_turns(rows: DataFrame) -> DataFrame:
     """session_id, turn, role, text, first_id, last_id, n_segments: ordered turns with only the words that were said.
 
-    rows: session_id, utterance_id, role, content, ts. A segment is a line of an utterance. Three kinds of precedence
-    order them: lines within an utterance (cues), utterance ids (dialogue), and elapsed times (timing). Cues and ids
-    never disagree. A time edge that contradicts the ids, where time falls, is dropped; the rest place the segments
-    that have no id, after the last utterance whose kept time is not later, or at the end without a time. That leaves
-    no cycle, so position, time and line are a topological order. Neighbours of one role are merged to a turn; role
-    is the line's own label where it names one, else the row's. A label such as Speaker 2 names nobody.
+    rows: session_id, utterance_id, role, content, ts, ordered as ordered_rows says; a segment is a line of a row.
+    Neighbours of one role are merged to a turn; role is the line's own label where it names one, else the row's. A label
+    such as Speaker 2 names nobody.
 
     Segments without words are left out, as are rows with null session or text, and segments that neither a label nor
     the row gives to student or tutor, such as background and null roles; what stands around them is merged. Exact
     repeats count once. Turns are numbered from 1.
 
-    Turns are first built within blocks of 4,096 positions. Roles alternate within a block, so a window over one row a
-    block tells which blocks go on with the turn before, and only the pieces at such edges are grouped again.
+    Texts are cleaned before they are shuffled, once, by session and block of 4,096 positions. Turns are first built
+    within blocks. Roles alternate within a block, so a window over one row a block tells which blocks go on with the
+    turn before, and only the pieces at such edges are grouped again: where blocks end changes no turn.
     """
-    once = rows.where("session_id is not null and content is not null").select("session_id", "utterance_id", clean_role(F.col("role")).alias("role"), "content", seconds(F.col("ts")).alias("secs"))
-    once = once.withColumn("block", F.shiftright(F.coalesce("utterance_id", F.lit(LATE)), BLOCK_BITS)).repartition("session_id", "block").dropDuplicates()
-    # dialogue against timing: a time is kept where it is not before one that came earlier in the dialogue
-    timed = running_max(once, "session_id", "block", ["utterance_id", "secs", "content"], "secs", "latest")
-    at = F.coalesce(F.when(F.col("utterance_id").isNull(), F.col("secs")).otherwise(F.col("latest")), F.lit(-1))
-    timed = timed.withColumn("at", F.when(F.col("utterance_id").isNull() & F.col("secs").isNull(), F.lit(1 << 30)).otherwise(at)).withColumn("at_block", F.shiftright("at", 9))
-    placed = running_max(timed, "session_id", "at_block", ["at", F.col("utterance_id").isNull(), "utterance_id", "content"], "utterance_id", "anchor")
-    placed = placed.withColumn("pos", F.coalesce("utterance_id", "anchor", F.lit(LATE)))
-    lines = placed.select("session_id", "pos", F.col("utterance_id").isNull().alias("late"), "secs", "utterance_id", "role", F.posexplode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n")).alias("line", "content"))
-    said = cleaned(lines)
-    label = F.when(F.col("__b") != F.col("__c"), F.regexp_extract("__b", LABEL, 0))
-    said = said.select("session_id", "pos", "late", "secs", "line", "utterance_id", "role", label.alias("label"), F.btrim(F.regexp_replace("__d", r"\s+", " ")).alias("text"))
-    # through an array, so that the filters below are not pushed down to run every step again
-    segs = said.select(F.explode_outer(F.array(F.struct(*said.columns))).alias("s")).select("s.*").withColumn("label", clean_role(F.regexp_replace("label", r"[^\p{L}]+", "")))
+    found = ordered_rows(rows).select("session_id", "utterance_id", "role", "block", "pos", "side", "secs", "row", "lines")
+    # through explode_outer, so that the filters below are not pushed down to run every step again
+    lines = found.repartition("session_id", "block").dropDuplicates(["session_id", "block", "pos", "side", "utterance_id", "row"])
+    segs = lines.select("session_id", "utterance_id", "role", "block", "pos", "side", "secs", "row", F.posexplode_outer("lines").alias("line", "s")).select("*", "s.text", clean_role(F.regexp_replace("s.label", r"[^\p{L}]+", "")).alias("label"))
     segs = segs.withColumn("role", F.when(F.col("label").isin("student", "tutor"), F.col("label")).otherwise(F.col("role")))
-    segs = segs.where("text <> '' and role in ('student', 'tutor')").withColumn("block", F.shiftright("pos", BLOCK_BITS))
-    w = W.partitionBy("session_id", "block").orderBy("pos", "late", "secs", "line", "role", "text")
+    segs = segs.where("text <> '' and role in ('student', 'tutor')")
+    w = W.partitionBy("session_id", "block").orderBy("pos", "side", "secs", "row", "line")
     turn = F.sum(F.when(F.col("role") == F.lag("role").over(w), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
     numbered = segs.withColumn("k", F.row_number().over(w)).withColumn("turn", turn)
     built = numbered.groupBy("session_id", "block", "turn").agg(
