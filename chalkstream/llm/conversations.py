@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chalkstream.functions.keys import is_blank, stripped
-from chalkstream.functions.text import overlap, seconds, words
+from chalkstream.functions.text import seconds, words
 from chalkstream.llm.components import stars
 from chalkstream.session import cut
 
@@ -30,150 +34,166 @@ def clean_role(role: Column) -> Column:
 
 #: Positions are cut into blocks of 4,096, so that no window holds more of a session than a block.
 BLOCK_BITS = 12
-#: Rows without a whole-number id come after all others, by time.
+#: Rows without a whole-number id come after all others: by time, and after those by hash.
 LATE = 1 << 52
+#: Messages just before one that are scored as its parent, beside the latest of each kind however far.
+WINDOW = 8
+#: Words of four letters and more that say nothing of what is talked about.
+PLAIN = (
+    "about also because been could does doing don't done from going good have here into it's just know like look okay over really right said same some that that's them then there these they thing think this those "
+    "very want well were what when where which will with would yeah your"
+).split()
 
 
 def messages(rows: DataFrame) -> DataFrame:
-    """session_id, utterance_id, role (clean), content, secs, pos, block, says: rows in the form links are sought in.
+    """session_id, utterance_id, role (clean), content, secs, pos, block, says, h: rows in the form links are sought in.
 
-    pos orders a session: the utterance_id, or for rows without one a late position by time. says is true for student
-    and tutor rows with content. Repeats are still there.
+    pos orders a session: the utterance_id, or for rows without one a late position by time, then by hash. says is true
+    for student and tutor rows with content; h is the content's hash, null for none. Repeats are still there.
     """
-    secs = seconds(F.col("ts"))
-    mix = F.pmod(F.xxhash64("content", "role", "ts"), F.lit(1024))
+    secs, h = seconds(F.col("ts")), F.xxhash64("content", "role", "ts")
+    late = F.lit(LATE) + F.coalesce(secs.cast("bigint") * 1024 + F.pmod(h, F.lit(1024)), F.lit(1 << 40) + F.pmod(h, F.lit(1 << 30)))
     m = rows.where(F.col("session_id").isNotNull()).select(
-        "session_id", "utterance_id", clean_role(F.col("role")).alias("role"), "content", secs.alias("secs"),
-        F.coalesce("utterance_id", F.lit(LATE) + F.coalesce(secs, F.lit(1 << 24)).cast("bigint") * 1024 + mix).alias("pos"),
-    )
+        "session_id", "utterance_id", clean_role(F.col("role")).alias("role"), "content", secs.alias("secs"), F.coalesce("utterance_id", late).alias("pos"), F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("h")
+    )
     says = F.coalesce(F.col("role").isin("student", "tutor"), F.lit(False)) & ~is_blank(F.col("content"))
     return m.withColumn("block", F.shiftright("pos", BLOCK_BITS)).withColumn("says", says)
 
 
-def _kinds() -> dict[str, Column]:
-    """The kinds of message that a later one may answer: by speaker, and the speaker's latest question."""
-    stu, tut = (F.col("says") & (F.col("role") == r) for r in ("student", "tutor"))
-    asks = F.col("content").rlike(r"\?\s*$")
-    return {"s": stu, "t": tut, "sq": stu & asks, "tq": tut & asks}
+#: The kinds of message that a later one may answer however far: by speaker, and the speaker's latest question.
+KINDS = {"s": "not tutor", "t": "tutor", "sq": "asks and not tutor", "tq": "asks and tutor"}
 
 
-def reply_links(rows: DataFrame) -> DataFrame:
+def reply_links(rows: DataFrame, content: bool = False, window: int = WINDOW) -> DataFrame:
     """messages(), each different row once, with their likeliest parent: parent_pos, parent_score, crosses.
 
-    rows: session_id, utterance_id, role, content, ts. Candidates are the latest message before it of the other speaker
-    (other_pos), the latest question of the other speaker, and the latest of its own speaker. A link's score adds
-    closeness in time (0.4 where a time is missing or falls), shared words, and between speakers also being addressed by
-    placeholder and answering a question. The best is the parent; of ties the later. A message whose best score is under
-    0.25 starts a conversation and has none, but a speaker's first message always answers the other's latest. crosses
-    says that the parent is the other speaker's, so a session has such a link exactly if both speak. Rows that say nothing
-    have no links. first_of_id marks the first row of an utterance_id, torn a row whose content differs from that of
-    another row of its utterance_id.
-
-    A window sees one block of a session; what earlier blocks end with is carried over by a window over blocks, so a
-    room with a third of all rows is spread over tasks. Positions are carried, and the times and words at them are then
-    fetched from their blocks, so a carried candidate is scored as any other. Older messages are no candidates, even if
-    they share more words.
+    rows: session_id, utterance_id, role, content, ts. Candidates are the window messages just before it, of either
+    speaker, and however far the latest message of each speaker and the latest question of each. A link's score adds
+    closeness in time (0.4 where a time is missing or falls), 0.8 of the share of the message's words that the candidate
+    has (words of four characters and more, but for PLAIN), and between speakers 0.2, 0.2 more for answering a question,
+    and 0.3 where the message addresses the other by placeholder. The best is the parent; of ties the later. A message
+    whose best score is under 0.25 starts a conversation and has none. crosses says that the parent is the other
+    speaker's. Rows that say nothing have no links, and rows of one position none to each other. first_of_id marks the
+    first row of an utterance_id, torn a row whose content differs from that of another row of its utterance_id.
+
+    A window sees one block of a session. The messages that earlier blocks end with are carried over by a window over
+    one row a block, so a room with a third of all rows is spread over tasks, and where blocks end changes no link.
+    Rows are shuffled once, packed so that both uses share the exchange; the text goes along only if content is true.
     """
-    m, kinds = messages(rows), _kinds()
-    w = W.partitionBy("session_id", "block").orderBy("pos", "role", "content", "secs")
+    m = messages(rows)
+    lower = F.lower("content")
+    named = F.when(F.col("role") == "student", F.contains(lower, F.lit("[tutor_name]"))).otherwise(F.contains(lower, F.lit("[student_name]")))
+    said = F.transform(F.array_except(words(F.col("content"), 4), F.array(*map(F.lit, PLAIN))), lambda x: F.hash(x))
+    own = ("session_id", "block", "utterance_id", "role", "secs", "pos", "says", "h", *(("content",) if content else ()))
+    packed = m.select(
+        "session_id", "block", F.array(F.struct(*own[2:], F.when(F.col("says"), said).alias("said"), (F.col("says") & F.col("content").rlike(r"\?\s*$")).alias("asks"), F.coalesce(named, F.lit(False)).alias("named"))).alias("r")
+    ).repartition("session_id", "block")
+    flat = packed.select("session_id", "block", F.col("r")[0].alias("r")).select("session_id", "block", "r.*").withColumn("tutor", F.col("role") == "tutor")
+    c = F.struct("pos", "role", "h", "secs", "said", "tutor", "asks")
+    order = ("pos", "role", "h", "secs")
+
+    # what blocks end with
+    past = W.partitionBy("session_id").orderBy("block")
+    last_few = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - window + 1), window)
+    ends = flat.where("says").groupBy("session_id", "block").agg(last_few(F.sort_array(F.collect_set(c))).alias("tail"), *[F.max(F.when(F.expr(x), c)).alias(k) for k, x in KINDS.items()])
+    tails = F.flatten(F.collect_list("tail").over(past.rowsBetween(-window, -1)))
+    carried = ends.select("session_id", "block", tails.alias("tails"), *[F.max(k).over(past.rowsBetween(W.unboundedPreceding, -1)).alias(f"c_{k}") for k in KINDS]).where(F.size("tails") > 0)
+    carried = carried.withColumn("tail", last_few(F.col("tails"))).drop("tails")
+
+    # repeats, and rows of one id
+    w = W.partitionBy("session_id", "block").orderBy(*order)
+    uid = F.col("utterance_id")
+    seen = flat.withColumn("__last", F.lag(F.struct("utterance_id", *order)).over(w))
+    same_id = uid.isNotNull() & F.col("__last.utterance_id").eqNullSafe(uid)
+    repeat = F.col("__last").isNotNull() & F.col("__last.utterance_id").eqNullSafe(uid)
+    for x in order:
+        repeat = repeat & F.col(f"__last.{x}").eqNullSafe(F.col(x))
+    once = seen.select(*flat.columns, repeat.alias("repeat"), (uid.isNotNull() & ~same_id).alias("first_of_id"), (same_id & ~F.col("h").eqNullSafe(F.col("__last.h"))).alias("torn")).where("not repeat").drop("repeat")
+
+    # candidates
+    w = W.partitionBy("session_id", "block", "says").orderBy(*order)
     before = w.rowsBetween(W.unboundedPreceding, -1)
-    placed = m.repartition("session_id", "block").withColumn("said", F.when(F.col("says"), words(F.col("content"), 4)))
-    row = F.struct("pos", "secs", "said")
-    near = placed.select(
-        "*", *[F.last(F.when(c, row), ignorenulls=True).over(before).alias(k) for k, c in kinds.items()], F.lag(F.struct("utterance_id", "content", "role", "secs", "pos")).over(w).alias("last")
-    )
-    ends = m.groupBy("session_id", "block").agg(*[F.max(F.when(c, F.col("pos"))).alias(k) for k, c in kinds.items()])
-    past = W.partitionBy("session_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select("session_id", "block", *[F.max(k).over(past).alias(f"c_{k}") for k in kinds]).where("c_s is not null or c_t is not null")
-    both = near.join(_with_rows(placed, carried, kinds), ["session_id", "block"], "left")
-    got = {k: F.coalesce(k, f"c_{k}") for k in kinds}
-    stu, uid, says = F.col("role") == "student", F.col("utterance_id"), F.col("says")
-    same_id = uid.isNotNull() & F.col("last.utterance_id").eqNullSafe(uid)
-    repeat = F.col("last.pos").eqNullSafe(F.col("pos")) & same_id.eqNullSafe(uid.isNotNull()) & F.col("last.content").eqNullSafe(F.col("content")) & F.col("last.role").eqNullSafe(F.col("role")) & F.col("last.secs").eqNullSafe(F.col("secs"))
-    own = ("session_id", "utterance_id", "role", "content", "secs", "pos", "block", "says")
-    linked = both.where(~repeat).select(
-        *own, "said",
-        F.when(says, F.when(stu, got["t"]).otherwise(got["s"])).alias("other"),
-        F.when(says, F.when(stu, got["tq"]).otherwise(got["sq"])).alias("asked"),
-        F.when(says, F.when(stu, got["s"]).otherwise(got["t"])).alias("self"),
-        (uid.isNotNull() & ~same_id).alias("first_of_id"),
-        (same_id & ~F.col("content").eqNullSafe(F.col("last.content"))).alias("torn"),
-    )
-    named = F.lower("content").contains(F.concat(F.lit("["), F.when(stu, "tutor").otherwise("student"), F.lit("_name]")))
-
-    def score(c: str, cross: bool, question: bool = False) -> Column:
-        gap = F.col("secs") - F.col(f"{c}.secs")
-        s = F.coalesce(F.when(gap >= 0, F.exp(-gap / 60.0)), F.lit(0.4)) + 0.5 * F.coalesce(overlap(F.col("said"), F.col(f"{c}.said")), F.lit(0.0))
-        s = s + (F.lit(0.2 + 0.2 * question) + F.when(named, 0.3).otherwise(0.0) if cross else F.lit(0.0))
-        return F.when(F.col(c).isNotNull(), F.struct(F.round(s, 6).alias("score"), F.col(f"{c}.pos").alias("pos"), F.lit(cross).alias("crosses")))
-
-    best = F.greatest(score("other", True), score("asked", True, True), score("self", False))
-    done = linked.select(*own, "first_of_id", "torn", F.col("other.pos").alias("other_pos"), F.col("self").isNull().alias("first"), best.alias("best"))
-    keep = (F.col("best.score") >= 0.25) | F.col("first")
-    return done.select(*own, "first_of_id", "torn", "other_pos", F.when(keep, F.col("best.pos")).alias("parent_pos"), F.col("best.score").alias("parent_score"), F.coalesce(keep & F.col("best.crosses"), F.lit(False)).alias("crosses"))
+    near = once.select("*", F.row_number().over(w).alias("rn"), *[F.lag(c, k).over(w).alias(f"n{k}") for k in range(1, window + 1)], *[F.last(F.when(F.expr(x), c), ignorenulls=True).over(before).alias(k) for k, x in KINDS.items()])
+    both = near.join(carried, ["session_id", "block"], "left")
+    got = [F.coalesce(f"n{k}", F.when(F.col("rn") <= k, F.get("tail", F.size("tail") + F.col("rn") - 1 - k))).alias(f"n{k}") for k in range(1, window + 1)] + [F.coalesce(k, f"c_{k}").alias(k) for k in KINDS]
+    linked = both.select(*own, "said", "named", "tutor", "first_of_id", "torn", *got)
 
+    def score(k: str) -> Column:
+        cross, gap = F.col(f"{k}.tutor") != F.col("tutor"), F.col("secs") - F.col(f"{k}.secs")
+        s = F.coalesce(F.when(gap >= 0, F.exp(-gap / 60.0)), F.lit(0.4)) + F.when(F.size("said") > 0, 0.8 * F.size(F.array_intersect("said", f"{k}.said")) / F.size("said")).otherwise(0.0)
+        s = s + F.when(cross, F.when(F.col(f"{k}.asks"), 0.4).otherwise(0.2) + F.when(F.col("named"), 0.3).otherwise(0.0)).otherwise(0.0)
+        return F.when(F.col("says") & (F.col(f"{k}.pos") < F.col("pos")), F.struct(F.round(s, 6).alias("score"), F.col(f"{k}.pos").alias("pos"), cross.alias("crosses")))
 
-def _with_rows(placed: DataFrame, carried: DataFrame, kinds: dict[str, Column]) -> DataFrame:
-    """carried (session_id, block, c_kind: a position or null) with the pos, secs and said of the last such row there.
-
-    Positions are sought in their own blocks, of which few are named, as most sessions are within one.
-    """
-    long = carried.select("session_id", "block", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"c_{k}").alias("pos")) for k in kinds])).alias("x")).select("session_id", "block", "x.*").where("pos is not null")
-    sought = long.groupBy("session_id", F.shiftright("pos", BLOCK_BITS).alias("block")).agg(F.collect_set("pos").alias("sought"))
-    rows = placed.join(sought, ["session_id", "block"]).where(F.array_contains("sought", F.col("pos")))
-    ends = rows.groupBy("session_id", "pos").agg(*[F.max(F.when(c, F.struct("content", "secs", "said"))).alias(k) for k, c in kinds.items()])
-    found = long.join(ends, ["session_id", "pos"])
-    pick = lambda k: F.max(F.when(F.col("kind") == k, F.struct("pos", f"{k}.secs", f"{k}.said")))
-    return found.groupBy("session_id", "block").agg(*[pick(k).alias(f"c_{k}") for k in kinds])
+    best = F.greatest(*[score(k) for k in (*[f"n{k}" for k in range(1, window + 1)], *KINDS)])
+    done = linked.select(*own, "first_of_id", "torn", best.alias("best"))
+    keep = F.coalesce(F.col("best.score") >= 0.25, F.lit(False))
+    return done.select(*own, "first_of_id", "torn", F.when(keep, F.col("best.pos")).alias("parent_pos"), F.col("best.score").alias("parent_score"), (keep & F.coalesce("best.crosses", F.lit(False))).alias("crosses"))
 
 
 def session_verdicts(links: DataFrame, named: DataFrame) -> DataFrame:
     """session_id, reason, n_messages, n_replies: every session of links or named once; reason null for one that stays.
 
     links: reply_links. named: session_id of the sessions that are expected. The first that applies: missing
-    (no row), empty (no student or tutor message), no_reply (no message's parent is the other speaker's),
-    broken (a whole number is missing between the least and the largest utterance_id, or one has rows of different
+    (no row), empty (no student or tutor message), no_reply (no message's parent is the other speaker's, and, as an
+    exact check on these, only one of them speaks), broken (a whole number is missing between the least and the largest utterance_id, or one has rows of different
     content; a null content differs from any text). Null session ids are left out; repeated rows change nothing.
     """
     uid = F.col("utterance_id")
     parts = links.groupBy("session_id", "block").agg(
-        F.count_if("says").alias("said"), F.count_if("crosses").alias("crossed"),
+        F.count_if("says").alias("said"), F.count_if("crosses").alias("crossed"), F.max(F.when(F.col("says"), F.col("role"))).alias("one"), F.min(F.when(F.col("says"), F.col("role"))).alias("two"),
         F.count_if("first_of_id").alias("n"), F.min(uid).alias("a"), F.max(uid).alias("b"), F.max("torn").alias("torn"),
     )
     asked = named.where(F.col("session_id").isNotNull()).select("session_id").distinct()
     both = parts.withColumn("there", F.lit(True)).unionByName(asked.withColumn("there", F.lit(False)), allowMissingColumns=True)
     each = both.groupBy("session_id").agg(
-        F.max("there").alias("there"), F.sum("said").alias("said"), F.sum("crossed").alias("crossed"),
+        F.max("there").alias("there"), F.sum("said").alias("said"), F.sum("crossed").alias("crossed"), (F.max("one") == F.min("two")).alias("alone"),
         F.sum("n").alias("n"), (F.max("b") - F.min("a") + 1).alias("span"), F.max("torn").alias("torn"),
     )
-    reason = F.when(~F.col("there"), "missing").when(F.col("said") == 0, "empty").when(F.col("crossed") == 0, "no_reply").when((F.col("n") != F.col("span")) | F.col("torn"), "broken")
+    reason = F.when(~F.col("there"), "missing").when(F.col("said") == 0, "empty").when((F.col("crossed") == 0) & F.col("alone"), "no_reply").when((F.col("n") != F.col("span")) | F.col("torn"), "broken")
     return each.select("session_id", reason.alias("reason"), F.coalesce("said", F.lit(0)).alias("n_messages"), F.coalesce("crossed", F.lit(0)).alias("n_replies"))
 
 
+def _with_heads(links: DataFrame) -> DataFrame:
+    """links with head: the position of the furthest ancestor that a row has among the rows that come before it here.
+
+    Rows come by session, block and position. A row whose parent is not among them, as it is in an earlier block, is its
+    own head; link_trees joins such heads. Texts pass through as Arrow columns, untouched.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
+        for b in batches:
+            out = []
+            for session, block, pos, parent in zip(*(b.column(c).to_pylist() for c in ("session_id", "block", "pos", "parent_pos"))):
+                if (session, block) != at:
+                    at, known = (session, block), {}
+                out.append(known.setdefault(pos, known.get(parent, pos)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "head"])
+
+    return links.mapInArrow(heads, T.StructType([*links.schema.fields, T.StructField("head", T.LongType())]))
+
+
 def link_trees(links: DataFrame) -> DataFrame:
-    """The messages of links that say something, each with the root of its link tree: root_pos.
+    """The messages of links (with heads) that say something, each with the root of its link tree: root_pos.
 
-    Runs of messages whose parent is the message just before them are contracted first (a running count within
-    blocks), so trees are joined over runs, of which a session that is one conversation has one for each block.
+    Within a block heads are known, so trees are joined over heads whose parent is in another block, of which a session
+    has few: one for each link that reaches over the end of a block.
     """
     says = links.where("says")
-    w = W.partitionBy("session_id", "block").orderBy("pos", "role", "content")
-    runs = says.withColumn("head", ~F.coalesce(F.col("parent_pos") == F.lag("pos").over(w), F.lit(False))).withColumn("run_pos", F.max(F.when(F.col("head"), F.col("pos"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = cut(runs.drop("head"))
     name = lambda p: F.format_string("%s|%020d", F.col("session_id"), p)
-    heads = runs.where("pos = run_pos and parent_pos is not null").select("session_id", F.col("run_pos").alias("u"), F.col("parent_pos").alias("pos"))
-    edges = heads.join(runs.groupBy("session_id", "pos").agg(F.min("run_pos").alias("v")), ["session_id", "pos"]).select(name(F.col("u")).alias("u"), name(F.col("v")).alias("v"))
-    root = stars(edges).select(F.col("node").alias("run"), F.col("root"))
-    out = runs.withColumn("run", name(F.col("run_pos"))).join(root, "run", "left")
-    return out.withColumn("root_pos", F.coalesce(F.substring_index("root", "|", -1).cast("bigint"), F.col("run_pos"))).drop("run", "run_pos", "root")
+    open_ = says.where("head = pos and parent_pos is not null").select("session_id", F.col("pos").alias("u"), F.col("parent_pos").alias("pos")).distinct()
+    over = open_.join(says.select("session_id", "pos", F.col("head").alias("v")), ["session_id", "pos"]).groupBy("session_id", "u").agg(F.min("v").alias("v"))
+    root = stars(over.select(name(F.col("u")).alias("u"), name(F.col("v")).alias("v")))
+    root = root.select(F.regexp_extract("node", r"^(.*)\|", 1).alias("session_id"), F.substring_index("node", "|", -1).cast("bigint").alias("head"), F.substring_index("root", "|", -1).cast("bigint").alias("root_pos"))
+    return says.join(root, ["session_id", "head"], "left").withColumn("root_pos", F.coalesce("root_pos", "head")).drop("head")
 
 
 def conversations(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """session_id, conversation, place, utterance_id, role, content: ordered messages of the sessions that stay.
+    """session_id, conversation, place, utterance_id, role, content, reply_to: ordered messages of the sessions that stay.
 
     conversation is the position of the root message of the link tree within the session; place orders a session.
     """
-    links = cut(reply_links(rows))
-    stays = session_verdicts(links, named).where("reason is null").select("session_id")
-    kept = link_trees(links.join(stays, "session_id", "left_semi"))
+    links = cut(_with_heads(reply_links(rows, content=True)))
+    dropped = session_verdicts(links, named).where("reason is not null").select("session_id")
+    kept = link_trees(links.join(dropped, "session_id", "left_anti"))
     return kept.select("session_id", F.col("root_pos").alias("conversation"), F.col("pos").alias("place"), "utterance_id", "role", "content", F.col("parent_pos").alias("reply_to"))
