@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,8 +37,8 @@ def clean_role(role: Column) -> Column:
 BLOCK_BITS = 12
 #: Rows without a whole-number id come after all others: by time, and after those by hash.
 LATE = 1 << 52
-#: Messages just before one that are scored as its parent, beside the latest of each kind however far.
-WINDOW = 8
+#: A message may answer any of so many said just before it, and no farther back than so many positions.
+WINDOW, HORIZON = 8, 64
 #: Words of four letters and more that say nothing of what is talked about.
 PLAIN = (
     "about also because been could does doing don't done from going good have here into it's just know like look okay over really right said same some that that's them then there these they thing think this those "
@@ -52,7 +53,7 @@ def messages(rows: DataFrame) -> DataFrame:
     for student and tutor rows with content; h is the content's hash, null for none. Repeats are still there.
     """
     secs, h = seconds(F.col("ts")), F.xxhash64("content", "role", "ts")
-    late = F.lit(LATE) + F.coalesce(secs.cast("bigint") * 1024 + F.pmod(h, F.lit(1024)), F.lit(1 << 40) + F.pmod(h, F.lit(1 << 30)))
+    late = F.lit(LATE) + F.coalesce(secs.cast("bigint"), F.lit(1 << 40) + F.pmod(h, F.lit(1 << 30)))
     m = rows.where(F.col("session_id").isNotNull()).select(
         "session_id", "utterance_id", clean_role(F.col("role")).alias("role"), "content", secs.alias("secs"), F.coalesce("utterance_id", late).alias("pos"), F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("h")
     )
@@ -60,74 +61,110 @@ def messages(rows: DataFrame) -> DataFrame:
     return m.withColumn("block", F.shiftright("pos", BLOCK_BITS)).withColumn("says", says)
 
 
-#: The kinds of message that a later one may answer however far: by speaker, and the speaker's latest question.
-KINDS = {"s": "not tutor", "t": "tutor", "sq": "asks and not tutor", "tq": "asks and tutor"}
+def _signature(found: Column) -> Column:
+    """Two sets of 64 bits by two hashes of each word: of the words of one text, those that another has are counted by both."""
+    bit = lambda x, shift: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(63)).cast("int"))
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(F.transform(found, lambda x: F.xxhash64(x)), F.struct(zero.alias("a"), zero.alias("b")), lambda s, x: F.struct(s["a"].bitwiseOR(bit(x, 0)).alias("a"), s["b"].bitwiseOR(bit(x, 6)).alias("b")))
 
 
 def reply_links(rows: DataFrame, content: bool = False, window: int = WINDOW) -> DataFrame:
     """messages(), each different row once, with their likeliest parent: parent_pos, parent_score, crosses.
 
-    rows: session_id, utterance_id, role, content, ts. Candidates are the window messages just before it, of either
-    speaker, and however far the latest message of each speaker and the latest question of each. A link's score adds
+    rows: session_id, utterance_id, role, content, ts. Candidates are the window messages said just before it by either
+    speaker, no farther back than HORIZON positions (utterance ids, or for rows without one seconds). A link's score adds
     closeness in time (0.4 where a time is missing or falls), 0.8 of the share of the message's words that the candidate
-    has (words of four characters and more, but for PLAIN), and between speakers 0.2, 0.2 more for answering a question,
-    and 0.3 where the message addresses the other by placeholder. The best is the parent; of ties the later. A message
-    whose best score is under 0.25 starts a conversation and has none. crosses says that the parent is the other
-    speaker's. Rows that say nothing have no links, and rows of one position none to each other. first_of_id marks the
-    first row of an utterance_id, torn a row whose content differs from that of another row of its utterance_id.
-
-    A window sees one block of a session. The messages that earlier blocks end with are carried over by a window over
-    one row a block, so a room with a third of all rows is spread over tasks, and where blocks end changes no link.
-    Rows are shuffled once, packed so that both uses share the exchange; the text goes along only if content is true.
+    has (words of four characters and more, but for PLAIN; by signatures, in which one word in about 100 agrees by
+    chance), and between speakers 0.2, 0.2 more for answering a question, and 0.3 where the message addresses the other
+    by placeholder. The best is the parent; of ties the later. A message whose best score is under 0.25 starts a
+    conversation and has none. crosses says that the parent is the other speaker's. Rows that say nothing have no
+    links, and rows of one position none to each other. first_of_id marks the first row of an utterance_id, torn a row
+    whose content differs from that of another row of its utterance_id.
+
+    Rows are shuffled once, by session and block; the HORIZON positions before a block go along with it, so a room with
+    a third of all rows is spread over tasks, and where blocks end changes no link. Links are then found in one pass
+    over the sorted rows, by whole columns. The text goes along only if content is true.
     """
     m = messages(rows)
     lower = F.lower("content")
     named = F.when(F.col("role") == "student", F.contains(lower, F.lit("[tutor_name]"))).otherwise(F.contains(lower, F.lit("[student_name]")))
-    said = F.transform(F.array_except(words(F.col("content"), 4), F.array(*map(F.lit, PLAIN))), lambda x: F.hash(x))
-    own = ("session_id", "block", "utterance_id", "role", "secs", "pos", "says", "h", *(("content",) if content else ()))
-    packed = m.select(
-        "session_id", "block", F.array(F.struct(*own[2:], F.when(F.col("says"), said).alias("said"), (F.col("says") & F.col("content").rlike(r"\?\s*$")).alias("asks"), F.coalesce(named, F.lit(False)).alias("named"))).alias("r")
-    ).repartition("session_id", "block")
-    flat = packed.select("session_id", "block", F.col("r")[0].alias("r")).select("session_id", "block", "r.*").withColumn("tutor", F.col("role") == "tutor")
-    c = F.struct("pos", "role", "h", "secs", "said", "tutor", "asks")
-    order = ("pos", "role", "h", "secs")
-
-    # what blocks end with
-    past = W.partitionBy("session_id").orderBy("block")
-    last_few = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - window + 1), window)
-    ends = flat.where("says").groupBy("session_id", "block").agg(last_few(F.sort_array(F.collect_set(c))).alias("tail"), *[F.max(F.when(F.expr(x), c)).alias(k) for k, x in KINDS.items()])
-    tails = F.flatten(F.collect_list("tail").over(past.rowsBetween(-window, -1)))
-    carried = ends.select("session_id", "block", tails.alias("tails"), *[F.max(k).over(past.rowsBetween(W.unboundedPreceding, -1)).alias(f"c_{k}") for k in KINDS]).where(F.size("tails") > 0)
-    carried = carried.withColumn("tail", last_few(F.col("tails"))).drop("tails")
-
-    # repeats, and rows of one id
-    w = W.partitionBy("session_id", "block").orderBy(*order)
-    uid = F.col("utterance_id")
-    seen = flat.withColumn("__last", F.lag(F.struct("utterance_id", *order)).over(w))
-    same_id = uid.isNotNull() & F.col("__last.utterance_id").eqNullSafe(uid)
-    repeat = F.col("__last").isNotNull() & F.col("__last.utterance_id").eqNullSafe(uid)
-    for x in order:
-        repeat = repeat & F.col(f"__last.{x}").eqNullSafe(F.col(x))
-    once = seen.select(*flat.columns, repeat.alias("repeat"), (uid.isNotNull() & ~same_id).alias("first_of_id"), (same_id & ~F.col("h").eqNullSafe(F.col("__last.h"))).alias("torn")).where("not repeat").drop("repeat")
-
-    # candidates
-    w = W.partitionBy("session_id", "block", "says").orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    near = once.select("*", F.row_number().over(w).alias("rn"), *[F.lag(c, k).over(w).alias(f"n{k}") for k in range(1, window + 1)], *[F.last(F.when(F.expr(x), c), ignorenulls=True).over(before).alias(k) for k, x in KINDS.items()])
-    both = near.join(carried, ["session_id", "block"], "left")
-    got = [F.coalesce(f"n{k}", F.when(F.col("rn") <= k, F.get("tail", F.size("tail") + F.col("rn") - 1 - k))).alias(f"n{k}") for k in range(1, window + 1)] + [F.coalesce(k, f"c_{k}").alias(k) for k in KINDS]
-    linked = both.select(*own, "said", "named", "tutor", "first_of_id", "torn", *got)
-
-    def score(k: str) -> Column:
-        cross, gap = F.col(f"{k}.tutor") != F.col("tutor"), F.col("secs") - F.col(f"{k}.secs")
-        s = F.coalesce(F.when(gap >= 0, F.exp(-gap / 60.0)), F.lit(0.4)) + F.when(F.size("said") > 0, 0.8 * F.size(F.array_intersect("said", f"{k}.said")) / F.size("said")).otherwise(0.0)
-        s = s + F.when(cross, F.when(F.col(f"{k}.asks"), 0.4).otherwise(0.2) + F.when(F.col("named"), 0.3).otherwise(0.0)).otherwise(0.0)
-        return F.when(F.col("says") & (F.col(f"{k}.pos") < F.col("pos")), F.struct(F.round(s, 6).alias("score"), F.col(f"{k}.pos").alias("pos"), cross.alias("crosses")))
-
-    best = F.greatest(*[score(k) for k in (*[f"n{k}" for k in range(1, window + 1)], *KINDS)])
-    done = linked.select(*own, "first_of_id", "torn", best.alias("best"))
-    keep = F.coalesce(F.col("best.score") >= 0.25, F.lit(False))
-    return done.select(*own, "first_of_id", "torn", F.when(keep, F.col("best.pos")).alias("parent_pos"), F.col("best.score").alias("parent_score"), (keep & F.coalesce("best.crosses", F.lit(False))).alias("crosses"))
+    said = F.when(F.col("says"), _signature(F.array_except(words(F.col("content"), 4), F.array(*map(F.lit, PLAIN)))))
+    own = ("session_id", "utterance_id", "role", "secs", "pos", "says", "h", *(("content",) if content else ()))
+    asks = F.col("content").rlike(r"\?\s*$")
+    low = F.col("pos").bitwiseAND((1 << BLOCK_BITS) - 1)
+    over = F.when((low >= (1 << BLOCK_BITS) - HORIZON) & F.col("says"), F.struct((F.col("block") + 1).alias("block"), F.lit(False).alias("own")))
+    slim = m.select(*own, "block", said.alias("said"), F.coalesce(asks, F.lit(False)).alias("asks"), F.coalesce(named, F.lit(False)).alias("named"))
+    spread = slim.select(*own, F.col("said.a").alias("a"), F.col("said.b").alias("b"), "asks", "named", F.explode(F.array_compact(F.array(F.struct("block", F.lit(True).alias("own")), over))).alias("at"))
+    ready = spread.select(*own, "a", "b", "asks", "named", "at.block", "at.own").repartition("session_id", "block").sortWithinPartitions("session_id", "block", "pos", "role", "h", "secs")
+    keep = [*own, "block"]
+    schema = T.StructType([*[ready.schema[c] for c in keep], T.StructField("first_of_id", T.BooleanType()), T.StructField("torn", T.BooleanType()), T.StructField("parent_pos", T.LongType()), T.StructField("parent_score", T.DoubleType()), T.StructField("crosses", T.BooleanType())])
+    return ready.mapInArrow(lambda batches: _linked(batches, keep, window), schema)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], keep: list[str], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows by session, block and order, without repeats and rows of the block before, with their parents."""
+    roles = {None: 0, "student": 1, "tutor": 2, "background": 3, "other": 4}
+    held: dict[str, np.ndarray] | None = None
+    session = ""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        whole = lambda c, none, b=b: b.column(c).fill_null(none).to_numpy(zero_copy_only=False)
+        coded, names = b.column("role").dictionary_encode(), b.column("session_id").dictionary_encode()
+        role = np.array([roles[x] for x in coded.dictionary.to_pylist()] + [0], np.int8)[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+        x = {
+            "session": names.indices.to_numpy(zero_copy_only=False).astype(np.int64), "block": whole("block", 0), "pos": whole("pos", 0), "secs": whole("secs", -1).astype(float), "h": whole("h", 0), "none": b.column("h").is_null().to_numpy(zero_copy_only=False),
+            "uid": whole("utterance_id", 0), "has_id": b.column("utterance_id").is_valid().to_numpy(zero_copy_only=False), "role": role, "says": whole("says", False), "own": whole("own", False), "a": whole("a", 0).astype(np.uint64), "b": whole("b", 0).astype(np.uint64),
+            "asks": whole("asks", False), "named": whole("named", False),
+        }
+        n_held = 0 if held is None else len(held["pos"])
+        if held is not None:
+            held["session"] = np.full(n_held, names.dictionary.index(pa.scalar(session, pa.string())).as_py(), np.int64)
+            x = {k: np.concatenate([held[k], v]) for k, v in x.items()}
+        same = np.zeros(len(x["pos"]), bool)
+        same[1:] = (x["session"][1:] == x["session"][:-1]) & (x["block"][1:] == x["block"][:-1])
+        group = np.cumsum(~same)
+        equal = lambda *names: np.logical_and.reduce([np.r_[False, x[k][1:] == x[k][:-1]] for k in names]) & same
+        repeat = equal("pos", "has_id", "uid", "role", "h", "none", "secs")
+        same_id = equal("has_id", "uid") & x["has_id"]
+        torn = same_id & ~equal("h", "none")
+        first = x["has_id"] & ~same_id
+        at = np.flatnonzero(x["says"] & ~repeat)
+        g, pos, secs, tutor = group[at], x["pos"][at], x["secs"][at], x["role"][at] == 2
+        n_a, n_b = np.bitwise_count(x["a"][at]), np.bitwise_count(x["b"][at])
+        best, parent, crosses = np.full(len(at), -1.0), np.full(len(at), -1, np.int64), np.zeros(len(at), bool)
+        for k in range(1, min(window, len(at) - 1) + 1):
+            i, j = slice(k, None), slice(None, -k)
+            far = pos[i] - pos[j]
+            ok = (g[i] == g[j]) & (far > 0) & (far <= HORIZON)
+            gap = secs[i] - secs[j]
+            time = np.where((secs[i] >= 0) & (secs[j] >= 0) & (gap >= 0), np.exp(-np.clip(gap, 0, None) / 60.0), 0.4)
+            shared = np.minimum(*(np.bitwise_count(x[c][at[i]] & x[c][at[j]]) / np.maximum(n[i], 1) for c, n in (("a", n_a), ("b", n_b))))
+            cross = tutor[i] != tutor[j]
+            score = np.round(time + 0.8 * shared + cross * (0.2 + 0.2 * x["asks"][at[j]] + 0.3 * x["named"][at[i]]), 6)
+            better = ok & (score > best[i])
+            best[i] = np.where(better, score, best[i])
+            parent[i] = np.where(better, pos[j], parent[i])
+            crosses[i] = np.where(better, cross, crosses[i])
+        linked = best >= 0.25
+        spread = lambda v, dtype: _put(len(x["pos"]), at, v, dtype)[n_held:]
+        out = (x["own"] & ~repeat)[n_held:]
+        mask = pa.array(out)
+        made = {
+            "first_of_id": pa.array(first[n_held:][out]), "torn": pa.array(torn[n_held:][out]), "parent_pos": pa.array(spread(parent, np.int64)[out], mask=~spread(linked, bool)[out]),
+            "parent_score": pa.array(spread(best, float)[out], mask=~spread(best >= 0, bool)[out]), "crosses": pa.array(spread(linked & crosses, bool)[out]),
+        }
+        yield pa.RecordBatch.from_arrays([*[b.column(c).filter(mask) for c in keep], *made.values()], names=[*keep, *made])
+        # what the next batch may need of the group that may go on: the last messages said, and the last row
+        stay = np.unique(np.r_[at[g == group[-1]][-window:], len(group) - 1]) if len(at) else np.array([len(group) - 1])
+        held = {k: v[stay] for k, v in x.items()}
+        held["own"], session = np.zeros(len(stay), bool), b.column("session_id")[-1].as_py()
+
+
+def _put(n: int, at: np.ndarray, values: np.ndarray, dtype: type) -> np.ndarray:
+    out = np.zeros(n, dtype)
+    out[at] = values
+    return out
 
 
 def session_verdicts(links: DataFrame, named: DataFrame) -> DataFrame:
