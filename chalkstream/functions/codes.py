@@ -57,3 +57,5 @@ ASK = ("ASKING_QUESTION", "PROMPTING_ALTERNATIVE_REPRESENTATION", "PROMPTING_NEX
 # Tutor and student codes of hard annotations.
 MOVES = "PROMPTING_RELATED_CONCEPTS PROMPTING_ALTERNATIVE_REPRESENTATION PROMPTING_SELF_EXPLANATION PROMPTING_NEXT_STEP PROMPTING_SELF_CORRECTION FEEDBACK_CORRECT FEEDBACK_INCORRECT FEEDBACK_NEUTRAL REVOICING RESTATING GIVING_HINT GIVING_EXAMPLE EXPLAINING_CONCEPTUAL EXPLAINING_PROCEDURAL GIVING_ANSWER ADMINISTRATIVE".split()
 STATES = "DEMONSTRATING_UNDERSTANDING CONFUSION_EXPRESSED SEEKING_CLARIFICATION SELF_CORRECTING OTHER ADMINISTRATIVE".split()
+TELL = ("EXPLAINING_CONCEPTUAL", "EXPLAINING_PROCEDURAL", "GIVING_ANSWER", "WORKED_DEMONSTRATION")
+ENGAGE, STRUGGLE = ("REASONING_SHOWN", "SELF_CORRECTING", "INSIGHT_DELIGHT"), ("CONFUSION_EXPRESSED", "FRUSTRATION", "SEEKING_CLARIFICATION")

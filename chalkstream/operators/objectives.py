@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chalkstream.functions import lexicons as L
+from chalkstream.functions.codes import ASK, ENGAGE, RESIDUAL, STRUGGLE, TELL
 from chalkstream.functions.dialect import SPARK, Dialect
 from chalkstream.functions.scan import running_sum
 from chalkstream.operators.profiles import r6
@@ -80,24 +85,57 @@ def local_deltas_sql(e: Dialect, local: str, resp: str, dialogue: str) -> str:
     return f"select l.response_id, {', '.join(f'{r6(f'coalesce(l.{a}, 0) - coalesce(d.{b}, 0)')} as {k}' for k, (a, b) in pairs.items())} from {local} l join {resp} r on l.response_id = r.response_id left join {dialogue} d on r.session_id = d.session_id"
 
 
-def turn_windows_sql(e: Dialect, turns: str, resp: str) -> str:
-    """Hard and soft coverage of an objective on the turn axis.
+#: Turns on either side of a hit that belong to the hard window, and the fewest turns of a session for soft coverage.
+PAD, LEAST_TURNS = 2, 6
+#: What is compared inside and outside the window, and at its end.
+_GAPS, _ENDS = ("ask", "tell", "reason", "struggle", "instr"), ("reason", "struggle")
+
+
+def turn_masses(probs: DataFrame) -> DataFrame:
+    """session_id, i, n and the masses of a turn: ask, tell, reason, struggle, and instr, 1 less residual tutor codes within [0, 1]."""
+    mass = lambda codes: F.sum(F.when(F.col("code").isin(*codes), F.col("p")).otherwise(0.0))
+    sums = [mass(c).alias(k) for k, c in {"ask": ASK, "tell": TELL, "reason": ENGAGE, "struggle": STRUGGLE}.items()]
+    instr = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - mass(RESIDUAL["tutor"]))).alias("instr")
+    return probs.groupBy("session_id", F.col("turn").alias("i")).agg(F.max("n").alias("n"), *sums, instr)
+
 
-    A turn hits if it holds a keyword. The hard window is every hit and two turns around it: its share, its mean place, and
-    the gap between the share of asking turns inside and outside (null if it is all of the session). Soft coverage is the
-    mean of exp(-distance to the nearest hit), null under 6 turns or without a hit.
+def turn_windows(turns: DataFrame, masses: DataFrame, resp: DataFrame) -> DataFrame:
+    """Hard and soft coverage of an objective on the turn axis, a row for each response.
+
+    A turn hits if it says a keyword (talk in runs of letters and apostrophes, so digits never hit). The hard window is
+    every hit and PAD turns around it: its share and mean place, the gap of each mass between inside and outside (null
+    if it is all of the session), and the mean reason and struggle of its last quarter, one turn at least. All are null
+    without a hit. Soft coverage is the mean of exp(-turns to the nearest hit), null under LEAST_TURNS turns.
+
+    Each different text of a session is worked out once. Only turns of the window are joined, what is outside is the
+    session's sum less theirs, and soft coverage is summed in closed form over the gaps between hits, so that no window
+    or join holds all turns for each objective.
     """
-    one = _one(e)
-    return f"""with lo as (select response_id, session_id, {e.explode(_keywords(e, 'lo_text'))} as t from {resp}),
-said as (select session_id, i, {e.explode(e.distinct(e.words("concat(teacher, ' ', student)")))} as t from {turns} where own),
-hit as (select distinct lo.response_id, lo.session_id, said.i from lo join said on lo.session_id = said.session_id and lo.t = said.t),
-grid as (select h.response_id, t.i, t.n, {e.has('teacher', 'elicit')} as el from (select distinct response_id, session_id from hit) h join {turns} t on h.session_id = t.session_id where t.own),
-g as (select g.*, h.i as hit from grid g left join hit h on g.response_id = h.response_id and g.i = h.i),
-d as (select *, {e.last('hit', '(partition by response_id order by i rows between unbounded preceding and current row)')} as lh, {e.first('hit', '(partition by response_id order by i rows between current row and unbounded following)')} as nh from g),
-s as (select *, least(coalesce(i - lh, 1000000), coalesce(nh - i, 1000000)) as dist from d),
-o as (select response_id, max(n) as n_turns, {r6(f'count_if(dist <= 2) * {one} / max(n)')} as cover, {r6(f'avg(case when dist <= 2 then i * {one} / n end)')} as place, {r6('case when count_if(dist <= 2) < max(n) then avg(case when dist <= 2 then cast(el as int) end) - avg(case when dist > 2 then cast(el as int) end) end')} as gap_ask,
- {r6(f'case when max(n) >= 6 then avg(exp(-dist * {one})) end')} as soft_cover from s group by response_id)
-select r.response_id, n_turns, coalesce(cover, 0) as cover, place, gap_ask, soft_cover from {resp} r left join o on r.response_id = o.response_id"""
+    keys = resp.select("session_id", "lo_text").distinct().select("session_id", "lo_text", F.explode(F.expr(_keywords(SPARK, "lo_text"))).alias("t"))
+    own = turns.where("own").select("session_id", "i", "n", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "teacher", "student")), F.lit("([a-z']+)"), F.lit(1)))).alias("t"))
+    hits = keys.join(own, ["session_id", "t"]).select("session_id", "lo_text", "i", "n").distinct()
+    around = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("i") - PAD), F.least(F.col("n") - 1, F.col("i") + PAD))
+    window = hits.select("session_id", "lo_text", F.explode(around).alias("i")).distinct()
+    whole = masses.groupBy("session_id").agg(F.max("n").alias("n"), *[F.sum(k).alias(f"all_{k}") for k in _GAPS])
+    by = W.partitionBy("session_id", "lo_text")
+    placed = window.withColumn("back", F.row_number().over(by.orderBy(F.desc("i")))).withColumn("m", F.count("*").over(by)).join(masses.drop("n"), ["session_id", "i"])
+    tail = F.col("back") <= F.greatest(F.lit(1), F.floor(F.col("m") / 4))
+    inside = placed.groupBy("session_id", "lo_text").agg(F.count("*").alias("m"), F.avg("i").alias("mean_i"), *[F.sum(k).alias(k) for k in _GAPS], *[F.avg(F.when(tail, F.col(k))).alias(f"end_{k}") for k in _ENDS]).join(whole, "session_id")
+    # exp(-1) + ... + exp(-m), and the same towards the nearer end of a gap of g turns
+    e1 = math.exp(-1)
+    run_ = lambda m: e1 * (1 - F.exp(-1.0 * m)) / (1 - e1)
+    gap = lambda g: 2 * run_(F.floor(g / 2)) + F.when(g % 2 == 1, F.exp(-(g + 1) / 2.0)).otherwise(0.0)
+    nxt = hits.withColumn("next", F.lead("i").over(by.orderBy("i"))).withColumn("first", F.row_number().over(by.orderBy("i")) == 1)
+    part = 1.0 + F.when(F.col("next").isNull(), run_(F.col("n") - 1 - F.col("i"))).otherwise(gap(F.col("next") - F.col("i") - 1)) + F.when(F.col("first"), run_(F.col("i"))).otherwise(0.0)
+    soft = nxt.groupBy("session_id", "lo_text").agg(F.sum(part).alias("near"))
+    r6_ = lambda x: F.round(x, 6) + 0.0
+    n, m = F.col("n"), F.col("m")
+    done = inside.join(soft, ["session_id", "lo_text"]).select(
+        "session_id", "lo_text", n.alias("n_turns"), r6_(m / n).alias("cover"), r6_(F.col("mean_i") / F.greatest(F.lit(1), n - 1)).alias("place"),
+        *[r6_(F.when(m < n, F.col(k) / m - (F.col(f"all_{k}") - F.col(k)) / (n - m))).alias(f"gap_{k}") for k in _GAPS], *[r6_(F.col(f"end_{k}")).alias(f"end_{k}") for k in _ENDS],
+        r6_(F.when(n >= LEAST_TURNS, F.col("near") / n)).alias("soft_cover"),
+    )
+    return resp.select("response_id", "session_id", "lo_text").join(done, ["session_id", "lo_text"], "left").drop("session_id", "lo_text")
 
 
 #: Words on either side of a back-reference among which keywords are sought.
@@ -113,15 +151,14 @@ def with_offsets(utt: DataFrame) -> DataFrame:
 def history_sql(e: Dialect, utt: str, resp: str) -> str:
     """Place in a programme: a first session, back-references among the first 40 rows, how many in all, near a keyword.
 
-    Near is within NEAR_WORDS words of the joined transcript on either side, in Spark: utt has with_offsets(). Rows meet
-    back-references by spans of 64 words, and only words near one are joined with keywords. DuckDB asks for both in one row.
+    Near is within NEAR_WORDS words of the joined transcript on either side, utt has with_offsets(). Rows meet
+    back-references by spans of 64 words, and only words near one are joined with keywords. All are null for a response
+    whose session has no transcript.
     """
     one = _one(e)
-    prior, both = e.text(L.PATTERNS["prior_session"]), f"{e.size(e.both(_keywords(e, 'r.lo_text'), 'f.tk'))} > 0"
-    near = f"near as (select distinct r.response_id from {resp} r join f on r.session_id = f.session_id where f.prior_ and {both})"
-    if e.spark:
-        spans = lambda a, b: f"explode(sequence(floor(({a}) / 64), floor(({b}) / 64)))"
-        near = f"""hits as (select session_id, words_before, low, regexp_extract_all(low, {prior}, 0) as found, split(low, {prior}, -1) as rest from (select session_id, words_before, lower(content) as low from {utt} where own) x where low rlike {prior}),
+    prior = e.text(L.PATTERNS["prior_session"])
+    spans = lambda a, b: f"explode(sequence(floor(({a}) / 64), floor(({b}) / 64)))"
+    near = f"""hits as (select session_id, words_before, low, regexp_extract_all(low, {prior}, 0) as found, split(low, {prior}, -1) as rest from (select session_id, words_before, lower(content) as low from {utt} where own) x where low rlike {prior}),
 starts as (select session_id, words_before, low, explode(transform(sequence(1, size(found)), k -> length(array_join(slice(rest, 1, k), '')) + length(array_join(slice(found, 1, k - 1), '')))) as at from hits),
 places as (select distinct session_id, words_before + {e.size(e.words('left(low, at)'))} as place from starts),
 wide as (select session_id, place, {spans(f'place - {NEAR_WORDS}', f'place + {NEAR_WORDS}')} as span from places),
@@ -131,7 +168,7 @@ near as (select distinct k.response_id from (select response_id, session_id, exp
     return f"""with f as (select session_id, i, {e.has('content', 'first_session')} as first_, {e.has('content', 'prior_session')} as prior_, {e.count('lower(content)', L.PATTERNS['prior_session'])} as np, {e.words('content')} as tk from {utt} where own),
 s as (select session_id, max(case when i < 40 then cast(first_ as int) end) as is_first, max(case when i < 40 then cast(prior_ as int) end) as prior_head, sum(np) as n_prior from f group by session_id),
 {near}
-select r.response_id, coalesce(is_first, 0) as histpos_is_first, coalesce(prior_head, 0) as histpos_prior_head, {r6(f'ln(1 + coalesce(n_prior, 0) * {one})')} as histpos_n_prior, cast(near.response_id is not null as int) as histpos_prior_lo from {resp} r left join s on r.session_id = s.session_id left join near on r.response_id = near.response_id"""
+select r.response_id, case when s.session_id is not null then coalesce(is_first, 0) end as histpos_is_first, case when s.session_id is not null then coalesce(prior_head, 0) end as histpos_prior_head, {r6(f'ln(1 + n_prior * {one})')} as histpos_n_prior, case when s.session_id is not null then cast(near.response_id is not null as int) end as histpos_prior_lo from {resp} r left join s on r.session_id = s.session_id left join near on r.response_id = near.response_id"""
 
 
 def surface_sql(e: Dialect, resp: str) -> str:
@@ -147,15 +184,23 @@ select md5(lo_text) as lo_md5, length(lo_text) as n_chars, {e.size(e.found('lo_t
  cast(coalesce({titled} * {one} / nullif({e.size(words)}, 0), 0) >= 0.5 as int) as is_titlecase, cast({e.matches('lo_text', '^[A-Z]', any_case=False)} as int) as starts_capital, cast({e.matches('lo_text', '[.]' + chr(92) + 's*$')} as int) as ends_period, {r6(f"{e.count('lo_text', '[A-Z]')} * {one} / greatest(1, {e.count('lo_text', '[A-Za-z]')})")} as frac_upper_chars, {ops}, {strand} as lo_topic_strand, {level} as lo_bloom_level from d"""
 
 
+#: Letters with marks and the plain letters they stand for, by Unicode's decomposition.
+_MARKED = {chr(c): base for c in range(0xC0, 0x250) if len(base := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)}
+
+
+def _plain_letters(e: Dialect, text: str) -> str:
+    return f"translate({text}, '{''.join(_MARKED)}', '{''.join(_MARKED.values())}')" if e.spark else f"strip_accents({text})"
+
+
 def curriculum_sql(e: Dialect, resp: str, statements: str) -> str:
     """The best cosine of an objective with curriculum statements, and the similarity-weighted year of the five best.
 
-    Terms are words and pairs of neighbours; weights (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), of length one, over the
+    Terms are words without accents and pairs of neighbours; weights (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), of length one, over the
     statements only; other terms of an objective have no weight. The key stage follows from the year, rounded half to
     even. An inverted index joins them term by term, so no objective meets a statement it shares nothing with.
     """
     one = _one(e)
-    tok = lambda c: e.keep(e.words(c), "length(v) >= 2")
+    tok = lambda c: e.keep(e.words(_plain_letters(e, c)), "length(v) >= 2")
     grams = (
         "concat(tk, case when size(tk) > 1 then transform(sequence(0, size(tk) - 2), k -> concat(tk[k], ' ', tk[k + 1])) else cast(array() as array<string>) end)" if e.spark
         else "list_concat(tk, list_transform(range(0, greatest(len(tk) - 1, 0)), lambda k: concat(tk[k + 1], ' ', tk[k + 2])))"

@@ -96,22 +96,19 @@ def graded_sql(e: Dialect, turns: str) -> str:
 def interactions_sql(e: Dialect, utt: str) -> str:
     """The interaction block: repairs completed, checks affirmed, answers attempted and confirmed, questions answered at length.
 
-    The next tutor row, and whether a long answer comes before it, are sought however far: in Spark within the block, and
-    rows that find none there count by what the blocks after begin with. DuckDB's frame is of 64 rows, so the two differ
-    where the next tutor is farther.
+    The next tutor row, and whether a long answer comes before it, are sought however far: within the block, and rows that
+    find none there count by what the blocks after begin with.
     """
     ack = e.strings(L.ACKNOWLEDGEMENTS)
     one = "1.0D" if e.spark else "1.0"
-    ahead = f"({e.w} rows between 1 following and 64 following)"
     rows = f"""with a as (select *, lower(content) as low, role = 'student' as stu, role = 'tutor' as tut, {e.talk_words('content')} as tk from {utt}),
 f as (select *, {e.size('tk')} as wc, {e.matches('low', '[?]' + chr(92) + 's*$')} as q, {e.has('low', 'corrective')} as cr, {e.has('low', 'confirm')} as cf, {e.has('low', 'check_understanding')} as cfu, {e.has('low', 'elicit')} as el, {e.has('low', 'maths')} as mt,
  {e.has('low', 'resolution')} or ({e.size('tk')} between 1 and 3 and {e.size(e.without('tk', ack))} = 0) as yes, {e.has('low', 'hedge')} or {e.has('low', 'confusion')} as unsure from a),"""
-    if e.spark:
-        ahead, future = f"({e.w} desc rows between unbounded preceding and 1 preceding)", "(partition by session_id order by blk desc rows between unbounded preceding and 1 preceding)"
-        attempt, ask, check = "stu and wc > 5 and (mt or not q)", "tut and (q or el)", "tut and cfu and role_after = 'student'"
-        long_or_tutor = "case when tut then 0 when stu and wc > 5 then 1 end"
-        whole = lambda n, left, found: f"sum({n} + case when {found} then {left} else 0 end)"
-        return f"""{rows}
+    ahead, future = f"({e.w} desc rows between unbounded preceding and 1 preceding)", "(partition by session_id order by blk desc rows between unbounded preceding and 1 preceding)"
+    attempt, ask, check = "stu and wc > 5 and (mt or not q)", "tut and (q or el)", "tut and cfu and role_after = 'student'"
+    long_or_tutor = "case when tut then 0 when stu and wc > 5 then 1 end"
+    whole = lambda n, left, found: f"sum({n} + case when {found} then {left} else 0 end)"
+    return f"""{rows}
 g as (select *, lag(role) over b as role_after, lag(yes) over b as yes_after, lag(unsure) over b as unsure_after, {e.last('case when tut then cf end', ahead)} as next_cf, {e.last(long_or_tutor, ahead)} as long_answer, coalesce(bool_or(tut and cf) over {ahead}, false) as cf_later from f window b as ({e.w} desc)),
 blocks as (select session_id, blk, min_by(cf, i) filter (where tut) as first_cf, min_by({long_or_tutor}, i) filter (where tut or stu and wc > 5) as first_long, bool_or(tut and cf) as any_cf, count_if(tut and cr) as n_cr, count_if(tut and cr and cf_later) as done, count_if(tut and cr and not cf_later) as done_left,
  count_if({check} and yes_after) as yes, count_if({check} and (yes_after or unsure_after)) as checks, count_if(stu) as n_stu, count_if({attempt}) as attempts, count_if({attempt} and coalesce(next_cf, false)) as confirmed, count_if({attempt} and next_cf is null) as confirmed_left,
@@ -119,37 +116,23 @@ blocks as (select session_id, blk, min_by(cf, i) filter (where tut) as first_cf,
 beyond as (select *, {e.last('first_cf', future)} as far_cf, {e.last('first_long', future)} as far_long, bool_or(any_cf) over {future} as far_any from blocks)
 select session_id, {r6(f"{whole('done', 'done_left', 'far_any')} * {one} / nullif(sum(n_cr), 0)")} as repair_complete_rate, {r6(f'sum(yes) * {one} / nullif(sum(checks), 0)')} as cfu_affirm_rate, {r6(f'case when sum(attempts) > 0 then sum(attempts) * {one} / sum(n_stu) end')} as answer_attempt_rate,
  {r6(f"{whole('confirmed', 'confirmed_left', 'far_cf')} * {one} / nullif(sum(attempts), 0)")} as answer_confirmed_rate, {r6(f"{whole('answered', 'answered_left', 'far_long = 1')} * {one} / nullif(sum(asks), 0)")} as funnel_rate from beyond group by session_id"""
-    return f"""{rows}
-last_confirm as (select session_id, max(i) as confirm_at from f where own and tut and cf group by session_id),
-j as (select f.*, l.confirm_at from f left join last_confirm l on f.session_id = l.session_id),
-g as (select *, lead(role) over b as role_after, lead(yes) over b as yes_after, lead(unsure) over b as unsure_after, {e.first('case when tut then cf end', ahead)} as next_cf, {e.first('case when tut then 0 when stu and wc > 5 then 1 end', ahead)} as long_answer from j window b as ({e.w}))
-select session_id, {r6(f'count_if(tut and cr and coalesce(confirm_at > i, false)) * {one} / nullif(count_if(tut and cr), 0)')} as repair_complete_rate, {r6(f"count_if(tut and cfu and role_after = 'student' and yes_after) * {one} / nullif(count_if(tut and cfu and role_after = 'student' and (yes_after or unsure_after)), 0)")} as cfu_affirm_rate,
- {r6(f'case when count_if(stu and wc > 5 and (mt or not q)) > 0 then count_if(stu and wc > 5 and (mt or not q)) * {one} / count_if(stu) end')} as answer_attempt_rate, {r6(f'count_if(stu and wc > 5 and (mt or not q) and coalesce(next_cf, false)) * {one} / nullif(count_if(stu and wc > 5 and (mt or not q)), 0)')} as answer_confirmed_rate,
- {r6(f'count_if(tut and (q or el) and coalesce(long_answer = 1, false)) * {one} / nullif(count_if(tut and (q or el)), 0)')} as funnel_rate from g where own group by session_id"""
 
 
 def neighbours_sql(e: Dialect, utt: str) -> str:
     """As-of look-ups: the latest text of the other role before a row, the first tutor row after it, and adjacent roles.
 
-    Strictly before and after, however far; missing is ''. Spark looks within a row's block, then at what the blocks
-    before end with and those after begin with, carried by windows over one row a block. DuckDB's frames are of 64 rows,
-    so the two differ where an answer is farther.
+    Strictly before and after, however far; missing is ''. They are sought within a row's block, then at what the blocks
+    before end with and those after begin with, carried by windows over one row a block.
     """
     tutor, student = (f"case when role = '{role}' then content end" for role in ("tutor", "student"))
-    if e.spark:
-        back, ahead = f"({e.w} rows between unbounded preceding and 1 preceding)", f"({e.w} desc rows between unbounded preceding and 1 preceding)"
-        past, future = (f"(partition by session_id order by blk{d} rows between unbounded preceding and 1 preceding)" for d in ("", " desc"))
-        far = f"""with ends as (select session_id, blk, max_by(content, i) filter (where role = 'tutor') as tutor_last, max_by(content, i) filter (where role = 'student') as student_last, min_by(content, i) filter (where role = 'tutor') as tutor_first from {utt} where own group by session_id, blk),
+    back, ahead = f"({e.w} rows between unbounded preceding and 1 preceding)", f"({e.w} desc rows between unbounded preceding and 1 preceding)"
+    past, future = (f"(partition by session_id order by blk{d} rows between unbounded preceding and 1 preceding)" for d in ("", " desc"))
+    far = f"""with ends as (select session_id, blk, max_by(content, i) filter (where role = 'tutor') as tutor_last, max_by(content, i) filter (where role = 'student') as student_last, min_by(content, i) filter (where role = 'tutor') as tutor_first from {utt} where own group by session_id, blk),
 carried as (select session_id, blk, {e.last('tutor_last', past)} as tutor_far, {e.last('student_last', past)} as student_far, {e.last('tutor_first', future)} as next_far from ends)
 """
-        before, after = {"tutor": f"coalesce({e.last(tutor, back)}, tutor_far)", "student": f"coalesce({e.last(student, back)}, student_far)"}, f"{e.last(tutor, ahead)}, next_far"
-        rows = f"{utt} left join carried using (session_id, blk)"
-    else:
-        back, ahead = f"({e.w} rows between 64 preceding and 1 preceding)", f"({e.w} rows between 1 following and 64 following)"
-        far, rows = "", utt
-        before, after = {"tutor": e.last(tutor, back), "student": e.last(student, back)}, e.first(tutor, ahead)
-    return f"""{far}select session_id, i, role, coalesce(case role when 'student' then {before['tutor']} when 'tutor' then {before['student']} end, '') as other_before, coalesce({after}, '') as tutor_after,
- lag(role) over ({e.w}) as role_before, lead(role) over ({e.w}) as role_after, coalesce(max(cast({e.has('content', 'confusion')} as int)) over ({e.w} rows between 2 preceding and 2 following), 0) as near_confusion, own from {rows}"""
+    before = {"tutor": f"coalesce({e.last(tutor, back)}, tutor_far)", "student": f"coalesce({e.last(student, back)}, student_far)"}
+    return f"""{far}select session_id, i, role, coalesce(case role when 'student' then {before['tutor']} when 'tutor' then {before['student']} end, '') as other_before, coalesce({e.last(tutor, ahead)}, next_far, '') as tutor_after,
+ lag(role) over ({e.w}) as role_before, lead(role) over ({e.w}) as role_after, coalesce(max(cast({e.has('content', 'confusion')} as int)) over ({e.w} rows between 2 preceding and 2 following), 0) as near_confusion, own from {utt} left join carried using (session_id, blk)"""
 
 
 def neighbours_own_sql(e: Dialect, near: str) -> str:

@@ -13,6 +13,7 @@ from chalkstream.operators import objectives as lo
 from chalkstream.operators import sequences as seq
 from chalkstream.operators import relations as rel
 from chalkstream.operators import soft, texts
+from chalkstream.plans import checks
 from chalkstream.plans.registry import query
 from chalkstream.session import cut, read
 
@@ -75,12 +76,12 @@ def record_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(seq.record_sql, graded=run(seq.graded_sql, turns=_turns(spark, sf_dir)))
 
 
-@query("interaction_block", duck(seq.interactions_sql, **U))
+@query("interaction_block", checks.INTERACTIONS)
 def interaction_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(seq.interactions_sql, utt=_utt(spark, sf_dir))
 
 
-@query("asof_neighbours", duck(seq.neighbours_own_sql, **U, near=seq.neighbours_sql(DUCK, "utt")))
+@query("asof_neighbours", checks.NEIGHBOURS)
 def asof_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(seq.neighbours_own_sql, near=run(seq.neighbours_sql, utt=_utt(spark, sf_dir)))
 
@@ -130,12 +131,13 @@ def objective_local_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(lo.local_deltas_sql, local=objective_local_window(spark, sf_dir), resp=_resp(spark, sf_dir), dialogue=dialogue_profile(spark, sf_dir))
 
 
-@query("objective_turn_windows", duck(lo.turn_windows_sql, **TR))
+@query("objective_turn_windows", checks.TURN_WINDOWS)
 def objective_turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(lo.turn_windows_sql, turns=_turns(spark, sf_dir), resp=_resp(spark, sf_dir))
+    turns = _turns(spark, sf_dir)
+    return lo.turn_windows(turns, lo.turn_masses(run(soft.probabilities_sql, turns=turns)), _resp(spark, sf_dir))
 
 
-@query("programme_history", duck(lo.history_sql, **UR))
+@query("programme_history", checks.HISTORY)
 def programme_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(lo.history_sql, utt=lo.with_offsets(_utt(spark, sf_dir)), resp=_resp(spark, sf_dir))
 
@@ -348,7 +350,7 @@ def head_keep_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("publisher_match")
 def publisher_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objective texts against curriculum statements by matching-blocks ratio."""
-    entries = [r.statement for r in read(spark, sf_dir, "nc_curriculum").where("statement is not null").select(F.lower(F.regexp_replace("statement", "^Pupils should be taught to ", "")).alias("statement")).distinct().orderBy("statement").limit(10_000).collect()]
+    entries = [r.statement for r in read(spark, sf_dir, "nc_curriculum").where("statement is not null").select(F.lower(F.regexp_replace("statement", "^Pupils should be taught to ", "")).alias("statement")).distinct().orderBy("statement").collect()]
     return texts.best_ratio(_resp(spark, sf_dir).select(F.lower("lo_text").alias("lo_text")), "lo_text", entries)
 
 

@@ -31,12 +31,14 @@ def local_session(cores: int | str = "*", app: str = "chalkstream") -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or for tests a temporary one of this machine."""
+    """The shared folder of the cluster. Only a local session that names none gets a temporary one of this machine."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chalkstream-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
