@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkstream.functions.keys import is_blank
+from chalkstream.session import cut
+
+#: Public vocabulary whose whole words are words of the language; the path must exist on every executor.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: What is written around an objective and says nothing of the skill.
 FRAMES = (
@@ -137,13 +142,13 @@ def alike(a: str, b: str) -> float:
     return 1 - last[-1] / max(len(a), len(b))
 
 
-def agreement(typed: tuple[str, ...], entry: tuple[str, ...], known: dict[str, int], listed: frozenset[str] = frozenset(), least: float = 0.5) -> tuple[float, float]:
-    """How far the words of both can be paired, 0 to 1 by length, and the same less a little for words out of order.
+def agreement(typed: tuple[str, ...], entry: tuple[str, ...], known: Container[str] = (), listed: Container[str] = (), least: float = 0.5) -> float:
+    """How far the words of both can be paired, 0 to 1 by length, whatever their order.
 
     It is 0 if a word of the entry has no partner. A typed word that is in listed, the words of all entries, pairs with
-    nothing but itself and what is four fifths alike or what it begins, and one that is established (in known, with a quarter of its partner's count at least) is a
-    word of its own and no slip of the pen, unless it is its partner cut short or three quarters alike. Unpaired typed words count in full, but
-    for words of FRAME_WORDS.
+    nothing but itself and what is four fifths alike or what it begins, and one that is in known, the words of the
+    language, is a word of its own and no slip of the pen, unless it is its partner cut short or three quarters alike.
+    Unpaired typed words count in full, but for words of FRAME_WORDS.
     """
     cut_short = lambda t, e: len(t) >= 4 and e.startswith(t)
     pairs = sorted(((max(alike(t, e), 0.8 * cut_short(t, e)), i, j) for i, t in enumerate(typed) for j, e in enumerate(entry)), key=lambda p: (-p[0], abs(p[1] - p[2]), p[1]))
@@ -152,74 +157,93 @@ def agreement(typed: tuple[str, ...], entry: tuple[str, ...], known: dict[str, i
         if s < least or i in used or j in done:
             continue
         t, e = typed[i], entry[j]
-        if s < 1 and (t in listed and s < 0.8 and not (len(t) > 6 and cut_short(t, e)) or not cut_short(t, e) and s < 0.7 and known.get(t, 0) >= max(2, 0.25 * known.get(e, 0))):
+        if s < 1 and (t in listed and s < 0.8 and not (len(t) > 6 and cut_short(t, e)) or not cut_short(t, e) and s < 0.7 and t in known):
             continue
         used[i] = j
         done.add(j)
         got += s * max(len(t), len(e))
     if len(done) < len(entry):
-        return 0.0, 0.0
+        return 0.0
     spare = [t for i, t in enumerate(typed) if i not in used and not any(alike(t, w) >= 0.6 for w in FRAME_WORDS)]
     whole = sum(max(len(typed[i]), len(entry[j])) for i, j in used.items()) + sum(map(len, spare))
-    at = [used[i] for i in sorted(used)]
-    turned = sum(x > y for k, x in enumerate(at) for y in at[k + 1 :])
-    score = got / whole if whole else 0.0
-    return score, score - 0.1 * turned / max(1, len(at) * (len(at) - 1) / 2)
+    return got / whole if whole else 0.0
+
+
+@lru_cache(2)
+def language(path: str) -> frozenset[str]:
+    """Stems of the whole words of a public vocabulary: entries of letters that begin with a space."""
+    out = set()
+    with open(path, "rb") as f:
+        for line in f:
+            b = base64.b64decode(line.split()[0])
+            if b[:1] == b" " and b[1:].isalpha() and b.islower():
+                out.add(stem(b[1:].decode("ascii", "ignore")))
+    return frozenset(out)
+
+
+def grams(words: tuple[str, ...]) -> list[str]:
+    """Character trigrams of words with their ends, and those over the space between neighbours, which tell their order."""
+    out = {w[i : i + 3] for w in (f"^{c}$" for c in words) for i in range(len(w) - 2)}
+    return sorted(out | {g for a, b in zip(words, words[1:]) for g in (f"{a[-2:]} {b[:1]}", f"{a[-1:]} {b[:2]}")})
 
 
 def map_to_entries(
-    values: DataFrame, value: str, entries: DataFrame, key: str, entry: str, floor: float = 0.3, threshold: float = 0.74, margin: float = 0.02, most_broadcast: int = 100_000
+    values: DataFrame, value: str, entries: DataFrame, key: str, entry: str, threshold: float = 0.4, margin: float = 0.005, near: float = 0.7, agree: float = 0.74, vocabulary: str = VOCABULARY
 ) -> DataFrame:
-    """value, key, cosine, score, runner_up: each different value that isn't blank once, with the entry it means.
+    """value, key, cosine, runner_up: each different value that isn't blank once, with the entry it means.
+
+    Values are deduplicated and normalised once. Candidates come from an inverted index of character trigrams, weighted
+    by inverse document frequency among the entries. Of a value's grams only the weightiest are looked up, until what is
+    left of its norm is below the threshold: an entry that shares none of these cannot reach it. Candidates are scored by
+    weighted cosine. As an exact check, those of at least near times the best cosine have their words paired with the
+    entry's; a candidate whose words agree by less than agree is none. Of the others the one of the highest cosine is
+    accepted if it reaches the threshold and is ahead of the next by the margin.
+
+    key is null where nothing is accepted, so unmatched values are reported; cosine is then that of the best candidate
+    left, null without any. Ties go to none (margin). Null and blank values are left out; an empty list of entries
+    matches nothing. Other columns are ignored. What a value is mapped to depends on no other value.
+    """
+    v = values.where(~is_blank(F.col(value))).select(F.col(value).cast("string").alias("raw")).distinct()
+    e = entries.where(~is_blank(F.col(entry))).select(F.col(key).alias("key"), F.col(entry).alias("raw"))
 
-    key is null where none of the entries reaches the threshold, or two are closer than the margin, so unmatched values
-    are reported. Values are deduplicated and normalised, candidates come from an inverted index of character
-    trigrams of words, and are scored by the cosine of their inverse-document-frequency weights; every candidate of at
-    least floor has its words paired with the entry's, whatever their order, and the score is the agreement
-    of the words; the order of words decides between entries of the same words. Ties go to none (margin). Null and blank values are left out; an empty list of entries
-    matches nothing. Other columns are ignored.
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [content(normal(x)) for x in b.raw]
+            yield b.assign(text=[" ".join(w) for w in words], words=[list(w) for w in words], grams=[grams(w) for w in words])
 
-    Trigram postings are broadcast if the list has at most most_broadcast entries, else joined by shuffle. Words that
-    establish themselves (in at least one of 2,000 values, so at most 2,000 times the words of a value) are collected.
-    """
-    spark = values.sparkSession
-    norm = F.pandas_udf(lambda s: s.map(normal), "string")
-    v = values.where(~is_blank(F.col(value))).select(F.col(value).alias("raw")).distinct().withColumn("text", norm("raw"))
-    e = entries.where(~is_blank(F.col(entry))).select(F.col(key).alias("key"), norm(F.col(entry)).alias("text"))
-    grams = F.pandas_udf(lambda s: s.map(lambda x: sorted({w[i : i + 3] for w in (f"^{c}$" for c in content(x)) for i in range(len(w) - 2)})), "array<string>")
-    texts = v.select("text").distinct().withColumn("grams", grams("text"))
-    listed = e.withColumn("grams", grams("text"))
+    schema = "text string, words array<string>, grams array<string>"
+    both = cut(v.mapInPandas(parts, f"raw string, {schema}"))
+    listed = cut(e.mapInPandas(parts, T.StructType([e.schema["key"], T.StructField("raw", T.StringType()), *T._parse_datatype_string(schema).fields])).drop("raw"))
     n = listed.count()
-    small = n <= most_broadcast
-    post = listed.select("key", F.explode("grams").alias("g"))
-    idf = post.groupBy("g").agg(F.log(1 + n / F.count(F.lit(1))).alias("w"))
-    near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    post = post.join(near(idf), "g")
-    norms = post.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n_e"))
-    post = post.join(near(norms), "key")
-    rare = math.log(1 + max(n, 1))
-    mine = texts.select("text", F.explode("grams").alias("g")).join(near(idf), "g", "left").withColumn("w", F.coalesce("w", F.lit(rare)))
-    own = mine.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n_v"))
-    hits = mine.join(near(post.select("g", "key", "n_e", F.col("w").alias("w_e"))), "g").groupBy("text", "key").agg(F.sum(F.col("w") * F.col("w_e")).alias("dot"), F.first("n_e").alias("n_e"))
-    scored = hits.join(own, "text").select("text", "key", (F.col("dot") / (F.col("n_e") * F.col("n_v"))).alias("cosine")).where(F.col("cosine") >= floor)
-    pairs = scored.join(near(e.select("key", F.col("text").alias("entry"))), "key")
-
-    words = texts.select("text", F.explode(F.pandas_udf(lambda s: s.map(lambda x: sorted(set(content(x)))), "array<string>")("text")).alias("word"))
-    n_v = texts.count()
-    known = {r.word: r.n for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, n_v / 2000)).toLocalIterator()}
-    parts = e.select(F.explode(F.split("text", " ")).alias("w")).distinct()
-    listed_words = frozenset(w for r in parts.limit(most_broadcast).toLocalIterator() for w in content(r.w)) if small else frozenset()
-    known_b = spark.sparkContext.broadcast((known, listed_words))
+    idf = listed.select(F.explode("grams").alias("g")).groupBy("g").agg(F.log(1 + n / F.count(F.lit(1))).alias("w"))
+    weighed = listed.select("key", F.explode("grams").alias("g")).join(idf, "g").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("of"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n_e"))
+    weighed = weighed.join(listed.select("key", F.col("words").alias("entry")), "key")
+
+    texts = both.groupBy("text").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
+    rare = F.lit(math.log(1 + max(n, 1)))
+    mine = texts.select("text", F.explode("grams").alias("g")).join(idf, "g", "left").withColumn("w", F.coalesce("w", rare))
+    mine = mine.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("w", "g")), asc=False).alias("gw")).withColumn("n_v", F.sqrt(F.aggregate("gw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
+    # the grams before whose end the squared norm of the rest is not yet below threshold squared
+    rest = F.aggregate("gw", F.struct((F.col("n_v") * F.col("n_v")).alias("left"), F.lit(0).alias("k")), lambda a, x: F.when(a["left"] < threshold * threshold * F.col("n_v") * F.col("n_v"), a).otherwise(F.struct((a["left"] - x["w"] * x["w"]).alias("left"), (a["k"] + 1).alias("k"))))
+    sought = mine.select("text", F.explode(F.slice("gw", 1, F.greatest(F.lit(1), rest["k"]))).alias("x")).select("text", F.col("x.g").alias("g"))
+    pairs = sought.join(listed.select("key", F.explode("grams").alias("g")), "g").select("text", "key").distinct().join(mine, "text").join(weighed, "key")
+    dot = F.aggregate("gw", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at("of", x["g"]), F.lit(0.0)))
+    scored = pairs.select("text", "key", "entry", F.explode_outer(F.array(dot / (F.col("n_v") * F.col("n_e")))).alias("cosine")).where(F.col("cosine") >= threshold * near)
+    best = scored.groupBy("text").agg(F.max("cosine").alias("top"))
+
+    # typed words that are words of entries
+    own = texts.select("text", F.explode("words").alias("word")).distinct().join(listed.select(F.explode("words").alias("word")).distinct(), "word").groupBy("text").agg(F.collect_set("word").alias("listed"))
+    asked = scored.join(best, "text").where(F.col("cosine") >= near * F.col("top")).join(own, "text").join(texts.select("text", "words"), "text")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words_of = lru_cache(1 << 16)(content)
+        known = language(vocabulary)
         for b in batches:
-            both = [agreement(words_of(t), words_of(x), *known_b.value) for t, x in zip(b.text, b.entry)]
-            yield b[["text", "key", "cosine"]].assign(score=[x for x, _ in both], rank=[x for _, x in both])
-
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("key", e.schema["key"].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.DoubleType())])
-    judged = pairs.select("text", "key", "cosine", "entry").mapInPandas(judge, schema)
-    best = judged.groupBy("text").agg(F.max_by(F.struct("key", "cosine", "score", "rank"), F.struct("rank", "cosine", "key")).alias("b"), F.sort_array(F.collect_list("rank"), asc=False).alias("s"))
-    ok = (F.col("b.score") >= threshold) & (F.col("b.rank") - F.coalesce(F.get("s", F.lit(1)), F.lit(0.0)) >= margin)
-    best = best.select("text", F.when(ok, F.col("b.key")).alias(key), F.col("b.cosine").alias("cosine"), F.col("b.score").alias("score"), F.coalesce(F.get("s", F.lit(1)), F.lit(0.0)).alias("runner_up"))
-    return v.join(best, "text", "left").select(F.col("raw").alias(value), key, "cosine", "score", "runner_up")
+            score = [agreement(tuple(t), tuple(x), known, frozenset(o)) for t, x, o in zip(b.words, b.entry, b.listed)]
+            yield b[["text", "key", "cosine"]][[s >= agree for s in score]]
+
+    left = asked.select("text", "key", "cosine", "entry", "listed", "words").mapInPandas(judge, T.StructType([T.StructField("text", T.StringType()), e.schema["key"], T.StructField("cosine", T.DoubleType())]))
+    two = left.groupBy("text").agg(F.max_by(F.struct("key", "cosine"), F.struct("cosine", "key")).alias("b"), F.max("cosine").alias("top"), F.sort_array(F.collect_list("cosine"), asc=False).alias("c"))
+    second = F.coalesce(F.get("c", F.lit(1)), F.lit(0.0))
+    ok = (F.col("top") >= threshold) & (F.col("top") - second >= margin)
+    done = two.select("text", F.when(ok, F.col("b.key")).alias(key), F.col("top").alias("cosine"), second.alias("runner_up"))
+    return both.select("raw", "text").join(done, "text", "left").select(F.col("raw").alias(value), key, "cosine", "runner_up")

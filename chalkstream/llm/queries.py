@@ -108,7 +108,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = [(r.split_name, r.target_share) for r in read(spark, sf_dir, "split_targets").orderBy("split_name").limit(100).collect()]
+    targets = [(r.split_name, r.target_share) for r in read(spark, sf_dir, "split_targets").orderBy("split_name").collect()]
     return assign_splits(response_groups(spark, sf_dir), targets).select("response_id", "group_id", "split")
 
 
@@ -157,7 +157,7 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", language(F.col("lang")).alias("lang"), topic(F.col("text")).alias("topic"), "text")
-    targets = {r.source: (r.target_share, r.max_repeats) for r in read(spark, sf_dir, "mix_targets").limit(10_000).collect()}
+    targets = {r.source: (r.target_share, r.max_repeats) for r in read(spark, sf_dir, "mix_targets").collect()}
     return mix(cut(count_tokens(docs, "text").drop("text")), "doc_id", targets)
 
 

@@ -81,4 +81,20 @@ def test_values_are_mapped(spark):
 def test_words_alike():
     assert alike("nubmer", "number") > 0.8 and alike("two", "ten") == 0 and alike("digits2", "digits3") == 0
     assert content(normal("Learning to: Add  Fractions (pt 3)...")) == ("add", "fraction")
-    assert agreement(("add", "cubic"), ("add", "cuboid"), {"cubic": 40, "cuboid": 100})[0] == 0
+    assert agreement(("add", "cubic"), ("add", "cuboid"), {"cubic", "cuboid"}) == 0
+
+
+def test_a_value_is_mapped_alike_whatever_else_there_is(spark):
+    entries = spark.createDataFrame(ENTRIES, "ref_id long, objective string")
+    mapped = lambda texts: {r.v: (r.ref_id, round(r.cosine or 0, 9)) for r in map_to_entries(spark.createDataFrame([(t,) for t in texts], "v string"), "v", entries, "ref_id", "objective").collect()}
+    whole, other = mapped(MEANT), [f"add cubic numbers {i}" for i in range(300)]
+    half = list(MEANT)[::2]
+    assert {t: whole[t] for t in half} == {t: v for t, v in mapped(half + other).items() if t in half}
+
+
+def test_acceptance_is_by_cosine_and_margin(spark):
+    """No entry is accepted under the threshold, or within the margin of another that its words fit as well."""
+    entries = spark.createDataFrame([*ENTRIES, (10, "Draw a bar chart"), (11, "Draw the bar charts")], "ref_id long, objective string")
+    rows = map_to_entries(spark.createDataFrame([(t,) for t in MEANT], "v string"), "v", entries, "ref_id", "objective").collect()
+    assert all(r.ref_id is None or r.cosine >= 0.4 and r.cosine - r.runner_up >= 0.005 for r in rows)
+    assert next(r.ref_id for r in rows if r.v == "Draw a bar cahrt") is None
