@@ -56,7 +56,13 @@ _STREET = re.compile(
 )
 _FAMILY = r"(?:(?:van\s+der|van\s+den|van|von|de\s+la|de|del|di|da|le|la|el|al|bin|ibn|mac|mc|o)[\s'’]+)?[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'’ø-]+"
 _TITLE = re.compile(rf"\b(?P<title>{'|'.join(TITLES)})\b\.?\s+{_UM}(?P<family>{_FAMILY})", re.I)
-_PAIR = re.compile(rf"\b(?P<a>[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'’-]*),?\s+{_UM}(?:(?P<mid>[A-Za-z])\.?\s+)?(?P<b>{_FAMILY})", re.I)
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ'’-]*[a-zß-ÿA-ZÀ-Þ]"
+_PARTICLE = r"(?:(?:[Vv]an\s+[Dd]er|[Vv]an\s+[Dd]en|[Vv]an|[Vv]on|[Dd]e\s+la|[Dd]e|[Dd]el|[Dd]i|[Dd]a|[Ll]e|[Ll]a|[Ee]l|[Aa]l|[Bb]in|[Ii]bn)\s+)?"
+#: Two capitalised words, in either order: whoever they are, the trees judge.
+_PAIR = re.compile(rf"(?<![\w'’-])(?=(?P<a>{_CAPITAL})(?P<gap>,?[ \t]+){_UM}(?:(?P<mid>[A-Z])\.?[ \t]+)?(?P<b>{_PARTICLE}{_CAPITAL})(?![\w'’-]))")
+#: Two words of any case where someone is introduced.
+_INTRO = r"(?:name(?:'?s|’s| is)|called|named|known as|i am|i'm|i’m|im|this is|it's|it’s|spelt|signed|from)"
+_INTRODUCED = re.compile(rf"\b{_INTRO}:?,?[ \t]+{_UM}(?P<a>[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'’-]+)(?P<gap>,?[ \t]+){_UM}(?P<b>{_FAMILY})", re.I)
 
 
 def fold(text: str) -> str:
@@ -69,33 +75,37 @@ _GIVEN = frozenset(GIVEN)
 
 @lru_cache(4)
 def _ordinary(path: str) -> frozenset[str]:
-    """Whole words of a public vocabulary, in lower case: entries that begin with a space."""
-    out = set()
+    """Words of a public vocabulary that it has in lower case: entries that begin with a space. Those it has with a
+    capital only, or far sooner with one, as names of persons and places, are there with a capital first."""
+    rank: dict[str, int] = {}
     with open(path, "rb") as f:
         for line in f:
-            b = base64.b64decode(line.split()[0])
-            if b[:1] == b" " and b[1:].isalpha():
-                out.add(b[1:].decode("ascii", "ignore").lower())
-    return frozenset(out)
+            token, at = line.split()
+            b = base64.b64decode(token)
+            if b[:1] == b" " and b[1:].isalpha() and b.isascii():
+                rank[b[1:].decode()] = int(at)
+    low = {w for w in rank if w.islower()}
+    proper = {w for w in rank if w[:1].isupper() and w[1:].islower() and rank.get(w.lower(), 1 << 30) > 3 * rank[w]}
+    return frozenset((low - {w.lower() for w in proper}) | proper)
 
 
 def _near(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - 45) : start].lower(), text[end : end + 30].lower()
 
 
-_PHONE_CUE = re.compile(r"\b(?:phone|call|ring|rings|ringing|tel|text|whatsapp|mobile|landline|reach|dial|my number is|fax|contact)\b")
-_ID_CUE = re.compile(r"\b(?:nhs|health|passport|upn|pupil (?:no|number)|learner number|national insurance|ni number|nino|ssn|social|payslip|form wants|register|log in with|insurance|unique pupil|id)\b")
-_MATHS_CUE = re.compile(r"\b(?:divisible|divided|divide|pattern|sequence|in words|round|rounded|decimal|multiply|plus|minus|times|digits?|numbers? line|equals|sum|prime|factor|goes|write|work out)\b")
-_MAIL_CUE = re.compile(r"\b(?:e-?mail|login|write to|send it to|bounced|signed up|mum's on|dad's on|mailto|contact|reach|address)\b")
-_HOME_CUE = re.compile(r"\b(?:live|lives|address|moved to|house|deliver|parcel|come round|certificate|form says|fire at|flat|send|at number|to number|number|post|visit)\b")
-_NAME_CUE = re.compile(r"(?:\b(?:my|his|her|called|named|this is|ask|tell|friend|waiting for|hello|hi|dear|signed|thanks|bye|i'm|im|is|was|by|call me|down as|shows|mum|dad|teacher|so|with|name)\b['’s]*[,:]?\s*)$")
+_PHONE_CUE = re.compile(r"\b(?:(?:tele)?phones?|call(?:s|ed|ing)?|ring(?:s|ing)?|rang|tel|text(?:s|ed)?|sms|mobile|landline|cell|reach|dial(?:led)?|number is|voicemail|extension|whatsapp)\b")
+_ID_CUE = re.compile(r"\b(?:nhs|health|hospital|patient|nurse|passport|visa|upn|pupil (?:no|number|id)|learner|student (?:no|number|id)|national insurance|ni (?:no|number)|nino|ssn|social(?: security)?|payroll|payslip|tax|register(?:ed)?|insurance|unique|identity|id|reference)\b")
+_MATHS_CUE = re.compile(r"\b(?:divisible|divided?|pattern|sequence|in words|round(?:ed)?|decimal|multipl\w+|plus|minus|times|digits?|numbers? line|equals?|sum|prime|factors?|goes|write|work out|add|subtract|square|total|answer|population|count)\b")
+_MAIL_CUE = re.compile(r"\b(?:e-?mails?|log ?in|login|account|username|inbox|bounced|sign(?:ed)? up|mailto|contact|reach|address|write to|send|sent|message|mine)\b")
+_HOME_CUE = re.compile(r"\b(?:lives?|living|address|moved?|house|home|deliver(?:y|ed)?|parcel|post(?:ed|code)?|come round|flat|send|number|visit|stay(?:ing|s)?|based|letter|form|next door|fire|certificate|nan's|address is)\b")
+_NAME_CUE = re.compile(r"(?:\b(?:my|his|her|our|called|named|known as|this is|ask|tell|told|friend|cousin|brother|sister|neighbour|coach|tutor|for|hello|hi|hey|dear|signed|thanks|bye|i'm|i am|im|is|was|by|as|says|from|mum|dad|teacher|so|with|and|name)\b['’s]*[,:]?\s*)$")
 _NOT_NAME_AFTER = re.compile(r"^\s*(?:street|road|lane|avenue|drive|close|way|diagram|theorem|triangle|bridge|park)\b")
 
 FEATURES = {
     "email": ("at_sign", "bracketed", "spoken", "cue_before", "cue_after", "local_len", "local_digit", "local_parts", "local_ordinary", "domain_parts", "tld_len", "site_after", "first_short"),
-    "number": ("digits", "plus", "zero_first", "letters_before", "letters_after", "seps", "groups", "spoken", "phone_before", "phone_after", "id_before", "id_after", "maths_before", "maths_after", "nhs_check", "ssn_shape", "mobile", "us_555", "upn_shape", "ni_shape", "pp_shape", "nines"),
+    "number": ("digits", "plus", "zero_first", "letters_before", "letters_after", "seps", "groups", "spoken", "phone_before", "phone_after", "id_before", "id_after", "maths_before", "maths_after", "nhs_check", "ssn_shape", "national", "north_american", "upn_shape", "ni_shape", "pp_shape", "nines"),
     "address": ("in_words", "digits", "cue_before", "flat", "capital_name", "ordinary_name", "name_words", "short_type", "capital_type", "common_type", "cards_after", "maths_before", "comma", "number_word", "small_words", "on_gap", "unit_word", "home_after"),
-    "name": ("title", "given_first", "given_last", "comma", "middle", "ordinary_family", "ordinary_given", "capital_family", "capital_given", "all_caps", "family_len", "cue_before", "street_after", "particle", "inner_mark", "title_first_of_and", "small_family", "digit_near"),
+    "name": ("title", "given_first", "given_last", "comma", "middle", "ordinary_family", "ordinary_given", "capital_family", "capital_given", "all_caps", "family_len", "cue_before", "street_after", "particle", "inner_mark", "title_first_of_and", "small_family", "digit_near", "proper_given", "proper_family", "unknown_given", "unknown_family", "introduced", "starts", "capital_after", "capital_before", "person_after", "given_follows", "thing_family"),
 }
 
 
@@ -132,7 +142,7 @@ def candidates(text: str, words: frozenset[str]) -> list[tuple[str, int, int, li
                 parts = re.split(r"[.+_-]|\s+(?:dot|dash|plus|underscore|hyphen)\s+", local.lower())
                 labels = re.split(r"\.|\s*[\[(]dot[\])]\s*|\s+dot\s+", domain.lower())
                 out.append(("email", m.start(), m.end(), [
-                    "@" in span, "[" in span or "(" in span, pattern is _EMAIL_SAID, bool(_MAIL_CUE.search(before)), " is mine" in after, len(local), any(c.isdigit() for c in local), len(parts),
+                    "@" in span, "[" in span or "(" in span, pattern is _EMAIL_SAID, bool(_MAIL_CUE.search(before)), bool(_MAIL_CUE.search(after)), len(local), any(c.isdigit() for c in local), len(parts),
                     sum(p in words for p in parts) / len(parts), len(labels), len(labels[-1]), "website" in after or "web site" in after, len(parts) == 1 and len(local) <= 3,
                 ]))
     if any(c.isdigit() for c in text) or "oh" in low or "zero" in low or "double" in low or "one" in low or "nine" in low or "five" in low:
@@ -156,9 +166,9 @@ def candidates(text: str, words: frozenset[str]) -> list[tuple[str, int, int, li
                 tail = not said and span[-1].isalpha()
                 out.append(("number", at + lead, at + len(text[at:end].rstrip()), [
                     len(digits), "+" in span, digits[:1] == "0", len(head[0]) if head else 0, tail, len(re.findall(r"[ ().-]+", span)) if not said else 0, len(groups), said,
-                    bool(_PHONE_CUE.search(close)), bool(re.search(r"house phone|if i drop|phone", after)), bool(_ID_CUE.search(before)), bool(re.search(r"nhs|payslip|on it|next to me|my learner|passport", after)),
+                    bool(_PHONE_CUE.search(close)), bool(_PHONE_CUE.search(after)), bool(_ID_CUE.search(before)), bool(_ID_CUE.search(after)),
                     bool(_MATHS_CUE.search(close[-18:])), bool(_MATHS_CUE.search(after[:22]) or "and so on" in after), _nhs(digits), groups == [3, 2, 4] and not head,
-                    bool(re.match(r"(?:0044|44|0)?(?:0?7700900|0?1632960|0?20794|0?1\d\d496|0?808157|0?3069)|(?:61|0)0?49157", digits)), bool(re.match(r"1?\d{3}55501\d\d$", digits)),
+                    bool(re.match(r"(?:0044|44|0)0?(?:7\d{9}|[123]\d{8,9}|8\d{8,9})$|(?:61|0)0?4\d{8}$", digits)), bool(re.match(r"1?[2-9]\d\d[2-9]\d{6}$", digits)) and groups[-1:] == [4],
                     bool(head) and len(head[0]) == 1 and len(digits) in (12, 13), bool(head) and len(head[0]) == 2 and len(digits) == 6 and tail, (bool(head) and len(head[0]) <= 2 and len(digits) == 7) or (not head and len(digits) == 9), digits.startswith("999"),
                 ]))
     for m in _STREET.finditer(text):
@@ -169,9 +179,9 @@ def candidates(text: str, words: frozenset[str]) -> list[tuple[str, int, int, li
         out.append(("address", m.start(), m.end(), [
             not m["no"][0].isdigit(), len(re.sub(r"\D", "", m["no"])), bool(_HOME_CUE.search(before[-30:])), m[0].lower().startswith(("flat", "apart", "apt", "unit")), sum(w[0].isupper() for w in core) / len(core), sum(plain) / len(plain), len(name),
             kind.lower() in ("st", "rd", "ave", "ln", "dr", "cl", "ct", "pl", "gdns", "cres", "terr", "blvd", "sq"), kind[0].isupper(), kind.lower() in ("square", "place", "way", "close", "walk", "row", "rise", "hill", "green", "view", "yard", "drive", "road"),
-            bool(re.match(r"\s*(?:card|map|value|is|has|have|the|number|of|to|and then)", after)), bool(_MATHS_CUE.search(before[-15:])), "," in m["gap"], bool(re.search(r"\bnumber\s*$", before)),
+            bool(re.match(r"\s*(?:cards?|tiles?|tokens?|counters?|points?|games?|badges?|maps?|values?|has|have|number|of|to|and then)\b", after)), bool(_MATHS_CUE.search(before[-15:])), "," in m["gap"], bool(re.search(r"\bnumber\s*$", before)),
             any(fold(w) in ("the", "of", "to", "and", "is", "a", "in", "on", "then", "for", "that", "at", "by", "i", "you", "we", "it", "times", "houses", "minutes", "minute", "km", "m", "by") for w in name), bool(re.search(r"\bon\b", m["gap"])), fold(name[0]) in ("minute", "minutes", "km", "cm", "m", "mm", "times", "pupils", "people"),
-            bool(re.match(r"[\s.,]*(?:is where|next to|after school|last night|in the summer|instead|apt|apartment)", after)),
+            bool(_HOME_CUE.search(after)),
         ]))
 
     def named(start: int, end: int, given: str, family: str, title: bool, comma: bool, middle: bool, last: bool, follows_and: bool = False) -> None:
@@ -182,31 +192,53 @@ def candidates(text: str, words: frozenset[str]) -> list[tuple[str, int, int, li
         out.append(("name", start, end, [
             title, fold(given) in _GIVEN and not last, fold(given) in _GIVEN and last, comma, middle, core in words, fold(given) in words, bool(caps) and family.split()[-1][0].isupper(), bool(given) and given[0].isupper(), bool(caps) and family.isupper(),
             len(core), bool(_NAME_CUE.search(before)), bool(_NOT_NAME_AFTER.match(after)), len(words_f) > 1, bool(re.search(r"['’-]", family)), follows_and, core in _TINY, bool(re.search(r"\d\s*$", before)),
+            fold(given).capitalize() in words, core.capitalize() in words, not known_word(given), not known_word(core), bool(_INTRO_END.search(before)), start == 0 or bool(re.search(r"[.!?:;\n-]\s*$", before)),
+            bool(re.match(r"\s+[A-Z][a-z]", text[end : end + 8])), bool(re.search(r"[A-Z][a-z]+\s+$", text[max(0, start - 20) : start])), bool(_PERSON_AFTER.match(after)), fold(family) in _GIVEN, core in _THINGS,
         ]))
 
+    def known_word(w: str) -> bool:
+        x = fold(w)
+        return x in words or x.capitalize() in words or x.rstrip("s") in words
+
+    seen: set[tuple[int, int]] = set()
     for m in _TITLE.finditer(text):
         named(m.start(), m.end(), m["title"], m["family"], True, False, False, False, fold(m["family"]) == "and")
+    for pattern in (_PAIR, _INTRODUCED):
+        for m in pattern.finditer(text):
+            a, b = m["a"], m["b"]
+            if fold(a) in TITLES or (m.start("a"), m.end("b")) in seen or _HESITATION.fullmatch(fold(a)) or _HESITATION.fullmatch(fold(b).split()[-1]):
+                continue
+            seen.add((m.start("a"), m.end("b")))
+            comma = "," in m["gap"]
+            last = comma or (fold(b) in _GIVEN and fold(a) not in _GIVEN)
+            named(m.start("a"), m.end("b"), b if last else a, a if last else b, False, comma, pattern is _PAIR and bool(m["mid"]), last)
     for m in re.finditer(r"[A-Za-zÀ-ÿ'’-]{2,}", text):
         w = fold(m[0])
         w = w[:-2] if w.endswith(("'s", "’s")) else w
         if w not in _GIVEN:
             continue
         follow = re.compile(rf"\s+{_UM}(?:(?P<mid>[A-Za-z])\.?\s+)?(?P<family>{_FAMILY})", re.I).match(text, m.end())
-        if follow and not _HESITATION.fullmatch(fold(follow["family"])):
+        if follow and (m.start(), follow.end()) not in seen and not _HESITATION.fullmatch(fold(follow["family"])):
             named(m.start(), follow.end(), m[0], follow["family"], False, False, bool(follow["mid"]), False)
         lead = re.search(rf"(?P<family>{_FAMILY})(?P<gap>,?\s+)(?:(?P<mid>[A-Za-z])\.?\s+)?$", text[max(0, m.start() - 40) : m.start()], re.I)
         if lead and not _HESITATION.fullmatch(fold(lead["family"]).split()[-1]):
             at = max(0, m.start() - 40) + lead.start()
+            if (at, m.end()) in seen:
+                continue
             named(at, m.end(), m[0], lead["family"], False, "," in lead["gap"], False, True)
     return out
 
 
 _HESITATION = re.compile(r"(?:u-?)*(?:u*h?m+|u+h+m*)|e+r+m*|h+m+|m+")
 _TINY = frozenset("a i the is and to you he she it we in on at so of my me let has got an or if be by do go who how was what can er um uh yes no not are did has can will".split())
+_INTRO_END = re.compile(rf"\b{_INTRO}:?,?\s+(?:um+|uh+|er+m*)?,?\s*$")
+#: What people do, right after their name, and what things with capitals are called.
+_PERSON_AFTER = re.compile(r"['’]?s?,?\s+(?:speaking|says?|said|told|asked|thinks?|gave|marked|wants?|helped|showed|lives?|has|had|is|was|can|will|and i|here|in my)\b")
+_THINGS = frozenset("stage year term diagram theorem chart game book street road lane bridge park city town county island river school academy college university class classroom team club cup league north south east west kingdom states sea ocean mountain museum station hall church hotel form test exam paper sheet page set unit level question section part time day week month morning afternoon evening angle triangle square circle graph line number method rule law board pen point scale axis factor multiple".split())
 _DETECTORS: dict[tuple[int, int], dict[str, Boosted]] = {}
 
 
-def fitted(samples: int = 12000, seed: int = 5, vocabulary: str = VOCABULARY) -> dict[str, Boosted]:
+def fitted(samples: int = 16000, seed: int = 5, vocabulary: str = VOCABULARY) -> dict[str, Boosted]:
     """A model for each kind, trained on so many invented utterances (a bounded set) and calibrated on others."""
     from chalkstream.llm.utterance_samples import labelled
 
@@ -236,19 +268,19 @@ def gate(text: Column) -> Column:
     streets = "|".join(sorted(STREETS))
     tails = "|".join(sorted({w[1:] for w in (*_SMALL, *_TENS, "hundred")}))
     on_street = rf",?\s+(?:[\p{{L}}.,'’-]+\s+){{1,6}}?(?:{streets})\b"
-    # words that stand before ", Name" without being a family name
-    plain = "thinking|okay|ok|hello|hi|hey|thanks|thank you|so|right|good|well|now|yes|no|yeah|great|perfect|excellent|work|done|sorry|please|bye|signed"
     parts = [
         text.contains("@"),
         text.rlike(f"[{ODD_SPACES}]"),  # which the patterns below take for no space
         text.rlike(r"(?i)[\[(]at[\])]|\bat\s+(?:\S+\s+){1,9}dot\s"),
         text.rlike(r"\d(?:[ ().-]{0,3}(?:\p{L}+[.,]*\s)?\d){5}"),
-        text.rlike(rf"[zZoOtTfFsSeEnNdD](?<!\p{{L}}.)(?i:ero|ought|h|ne|wo|hree|our|ive|ix|even|ight|ine|ouble|riple|reble)?[\s,-]+(?:[uehm-]+[.,]*\s+)?(?:(?i:{_WORDS9})[\s,-]+(?:[uehm-]+[.,]*\s+)?){{4}}"),
+        text.rlike(rf"[zZoOtTfFsSeEnNdD](?<!\p{{L}}.)(?i:ero|ought|h|ne|wo|hree|our|ive|ix|even|ight|ine|ouble|riple|reble)?[\s,-]+(?:[uehmrUEHMR-]+[.,]*\s+)?(?:(?i:{_WORDS9})[\s,-]+(?:[uehmrUEHMR-]+[.,]*\s+)?){{4}}"),
         text.rlike(rf"\d(?i)[a-z]?{on_street}"),
         text.rlike(rf"[oOtTfFsSeEnNhH](?<!\p{{L}}.)(?i)(?:{tails}){on_street}"),
         text.rlike(r"(?i)(?:\A|[^\p{L}])(?:m(?:r|rs|s|iss|x|adam)|dr|prof(?:essor)?|sir)\b\.?\s+\p{L}"),
-        text.rlike(rf"(?i)(?:\A|[^\p{{L}}])(?:{given})(?:['’]s)?\s+\p{{L}}"),
-        text.rlike(rf",(?i)(?<!\b(?:{plain}),)\s+(?:{given})(?!\p{{L}})"),
+        text.rlike(rf"(?i)(?:\A|[^\p{{L}}])(?:{given})(?:['’]s)?,?\s+\p{{L}}"),
+        text.rlike(rf",(?i)\s+(?:{given})(?!\p{{L}})"),
+        text.rlike(r"\p{Lu}(?<![\p{L}'’-].)[\p{L}'’-]+,?[ \t]+(?:(?i:u?h?m+|er+m*|u-?um)[.,]*[ \t]+)?(?:\p{Lu}\.?[ \t]+|[vdlaebi][a-z]{0,2}[ \t]+){0,2}\p{Lu}[\p{L}'’-]"),
+        text.rlike(r"(?i)\b(?:name(?:['’]?s| is)|called|named|known as|signed|i['’]?m|i am|this is|spelt)\b:?,?[ \t]+\p{L}+,?[ \t]+\p{L}"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -286,7 +318,7 @@ def spans_of(texts: list[str], models: dict[str, Boosted], words: frozenset[str]
     return [sorted(o) for o in out]
 
 
-def personal_spans(rows: DataFrame, text: str, vocabulary: str = VOCABULARY, samples: int = 12000) -> DataFrame:
+def personal_spans(rows: DataFrame, text: str, vocabulary: str = VOCABULARY, samples: int = 16000) -> DataFrame:
     """rows with spans: array of struct(start, end, kind, score), where a text names a person or how to reach or know one.
 
     Only texts that pass gate() go to Python; all others, and null texts, get an empty array. start is 0-based, end
