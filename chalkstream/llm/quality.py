@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkstream.functions.keys import WHITE
+from chalkstream.functions.keys import WHITE_CLASS
 from chalkstream.llm.rules import Rule, decide, irep
 from chalkstream.llm.samples import labelled
 
@@ -23,16 +23,32 @@ COMMON = (
     "het een van op te dat niet zijn met voor aan er ook maar om"
 )
 #: What is left of web pages: navigation words. Fixed values.
-NAVIGATION = r"home|log ?in|sign (?:up|in)(?: free)?|menu|cookies?|privacy(?: policy)?|terms|search|share|print|help|next(?: page)?|previous(?: page)?|back to top|accept all|subscribe|contact(?: us)?|read more|skip to content|all rights reserved|click here|loading"
-# repeated groups are bounded, since Java's patterns recurse into them
-_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}]+){0,4}"
+NAVIGATION = ("home", "login", "menu", "cookie", "cookies", "privacy", "terms", "search", "share", "print", "help", "next", "previous", "subscribe", "contact", "loading", "sitemap", "newsletter", "register", "basket", "checkout", "faq", "settings", "dashboard", "logout", "careers")
+#: The same of several words, by a word that each has.
+NAVIGATION_PHRASES = {"log": "log (?:in|out)", "sign": "sign (?:up|in)", "top": "back to top", "accept": "accept all", "read": "read more", "skip": "skip to content", "reserved": "all rights reserved", "click": "click here"}
+# repeated groups are bounded, since Java's patterns recurse into them; runs are possessive, as they never give back
+_WORD = r"[\p{L}\p{N}]++(?:['’][\p{L}]++){0,4}+"
 _MARK = r"^[ \t]*(?:[-*•–—»☐☑✓◦▪·‣][ \t]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[).][ \t]|\d{1,2} marks?\b)"
-_CELLS = r"^[ \t]*[|+].*[|+][ \t]*$|[^\t]\t|\t[^\t]|\S {3,}\S|^(?:[^,;\s]{0,40}[,;](?=[^\s]|$)){2}|\|.*\|"
+#: A line of up to seven words without an end.
+_SHORT = rf"^[^\p{{L}}\p{{N}}]*+(?:{_WORD}[^\p{{L}}\p{{N}}]++){{0,6}}+(?:{_WORD})?+[^\p{{L}}\p{{N}}]*+$"
+_CONSONANT = "[bcdfghjklmnpqrstvwxz]"
+_DEBRIS = r"\x{fffd}ÃÂ¤¶§±þ€\x{7f}"
 FEATURES = ("common_share", "symbol_ratio", "mean_word_length", "punct_line_share", "mark_share", "cell_share", "short_share", "nav_share", "distinct_share", "odd_share", "long_share", "tag_share", "comma_rate", "broken_share", "n_words")
 
 
-def _share(lines: Column, total: Column, pattern: str) -> Column:
-    own = F.aggregate(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0), lambda a, x: a + F.length(x))
+def _cells(x: Column) -> Column:
+    """Whether a line is one of cells: between bars, by tabs, by runs of spaces, or by commas without a space."""
+    return (
+        (x.contains("|") & x.rlike(r"\|.*\|"))
+        | x.rlike(r"^[ \t]*[|+].*[|+][ \t]*$")
+        | (x.contains("\t") & x.rlike(r"[^\t]\t|\t[^\t]"))
+        | (x.contains("   ") & x.rlike(r"\S {3,}\S"))
+        | x.rlike(r"^(?:[^,;\s]{0,40}+[,;](?=[^\s]|$)){2}")
+    )
+
+
+def _share(lines: Column, total: Column, of: Callable[[Column], Column]) -> Column:
+    own = F.aggregate(F.filter(lines, of), F.lit(0), lambda a, x: a + F.length(x))
     return F.when(total > 0, own / total).otherwise(0.0)
 
 
@@ -53,32 +69,34 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     base = documents.select(*[F.col(f"`{c}`") for c in own], t.alias("__t"), F.lower(t).alias("__l"))
     base = base.withColumns(
         {
-            "__solid": F.length(F.translate("__t", WHITE, "")),
+            "__solid": F.length(F.replace("__t", F.lit(" "), F.lit(""))) - F.regexp_count("__t", F.lit(f"[^ -~](?<=[{WHITE_CLASS}])")),
             "__lines": F.filter(F.split("__t", r"\r\n|[\r\n]"), lambda x: x.rlike(r"[^\s ]")),
         }
     )
     # the words alone, each between single spaces: patterns that begin with a space are tried at words only
     found = F.regexp_extract_all("__l", F.lit(f"({_WORD})"), F.lit(1))
     base = base.withColumn("__words", found).withColumn("__w", F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")))
-    base = base.withColumn("__alnum", F.length(F.translate(F.array_join("__words", ""), "'’", "")))
+    base = base.withColumn("__alnum", F.length(F.replace(F.replace(F.array_join("__words", ""), F.lit("'"), F.lit("")), F.lit("’"), F.lit("")))).withColumn("__own", F.array_distinct("__words"))
     base = base.withColumn("n_words", F.size("__words")).withColumn("__chars", F.aggregate("__lines", F.lit(0), lambda a, x: a + F.length(x)))
     n, solid, lines, chars = F.col("n_words"), F.col("__solid"), F.col("__lines"), F.col("__chars")
-    by_word = lambda pattern: F.when(n > 0, F.least(F.regexp_count("__w", F.lit(pattern)) / n, F.lit(1.0))).otherwise(0.0)
+    counted = lambda text, pattern, of, most=1.0: F.when(of > 0, F.least(F.regexp_count(text, F.lit(pattern)) / of, F.lit(most))).otherwise(0.0)
+    gathered = lambda text, pattern: F.length(F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), ""))
+    # patterns begin with what is rare and look behind only after it; each gate is true wherever its pattern can match
     stats = {
         "mean_word_length": F.when(n > 0, F.col("__alnum") / n).otherwise(0.0),
         "symbol_ratio": F.when(solid > 0, (solid - F.col("__alnum")) / solid).otherwise(0.0),
-        "punct_line_share": F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;]['\"”’)\]]*[\s ]*$"))) / F.size(lines)).otherwise(0.0),
+        "punct_line_share": F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: F.right(F.regexp_replace(F.right(x, F.lit(40)), r"[\s\xa0]+$", ""), F.lit(8)).rlike(r"[.!?…:;]['\"”’)\]]*$"))) / F.size(lines)).otherwise(0.0),
         "common_share": F.when(n > 0, F.size(F.filter("__words", lambda x: x.isin(*sorted(set(COMMON.split()))))) / n).otherwise(0.0),
-        "mark_share": F.when(F.size(F.filter(lines, lambda x: x.rlike(_MARK))) > 1, _share(lines, chars, _MARK)).otherwise(0.0),
-        "cell_share": _share(lines, chars, _CELLS),
-        "short_share": _share(lines, chars, rf"^[^\p{{L}}\p{{N}}]*(?:{_WORD}[^\p{{L}}\p{{N}}.!?]+){{0,6}}(?:{_WORD})?[^\p{{L}}\p{{N}}.!?]*$"),
-        "nav_share": by_word(rf" (?:{NAVIGATION})(?= )"),
-        "distinct_share": F.when(n > 0, F.size(F.array_distinct("__words")) / n).otherwise(0.0),
-        "odd_share": by_word(r"[bcdfghjklmnpqrstvwxz]{5,}| [bcdfghjklmnpqrstvwxz]{3,4}(?= )|[bcdfghjklmnpqrstvwxz]{2}[jqvxz]| \p{L}*+\p{N}+\p{L}[\p{L}\p{N}]{2,}"),
-        "long_share": F.when(solid > 0, F.length(F.array_join(F.regexp_extract_all("__t", F.lit(r"(\S{30,})"), F.lit(1)), "")) / solid).otherwise(0.0),
-        "tag_share": F.when(solid > 0, F.length(F.array_join(F.regexp_extract_all("__t", F.lit(r"(<[^<>\n]{1,200}>|\{[^{}\n]{1,200}\}|[\x{fffd}ÃÂ¤¶§±þ€\x{7f}])"), F.lit(1)), "")) / solid).otherwise(0.0),
-        "broken_share": F.when(n > 0, F.least(F.regexp_count("__t", F.lit(r"\p{Ll}\p{Lu}|\p{L}[.,:;!?]\p{Ll}")) / n, F.lit(1.0))).otherwise(0.0),
-        "comma_rate": F.when(n > 0, F.least(F.regexp_count("__t", F.lit(r"[,;/·|»]")) / n, F.lit(2.0))).otherwise(0.0),
+        "mark_share": F.when(F.size(F.filter(lines, lambda x: x.rlike(_MARK))) > 1, _share(lines, chars, lambda x: x.rlike(_MARK))).otherwise(0.0),
+        "cell_share": _share(lines, chars, _cells),
+        "short_share": _share(lines, chars, lambda x: ~x.rlike("[.!?]") & x.rlike(_SHORT)),
+        "nav_share": F.when(n > 0, F.least((F.size(F.filter("__words", lambda x: x.isin(*NAVIGATION))) + F.when(F.arrays_overlap("__own", F.array(*map(F.lit, NAVIGATION_PHRASES))), F.regexp_count("__w", F.lit(rf" (?:{'|'.join(NAVIGATION_PHRASES.values())})(?= )"))).otherwise(0)) / n, F.lit(1.0))).otherwise(0.0),
+        "distinct_share": F.when(n > 0, F.size("__own") / n).otherwise(0.0),
+        "odd_share": counted(F.concat(F.lit(" "), F.array_join("__own", " "), F.lit(" ")), rf"{_CONSONANT}{{2}}(?:{_CONSONANT}{{3,}}+|[jqvxz]|(?<= ..){_CONSONANT}{{1,2}}+(?= ))| \p{{L}}*+\p{{N}}++\p{{L}}[\p{{L}}\p{{N}}]{{2,}}+", F.size("__own")),
+        "long_share": F.when(solid > 0, gathered(F.concat(F.lit(" "), "__t"), r"\s(\S{30,}+)") / solid).otherwise(0.0),
+        "tag_share": F.when((solid > 0) & F.col("__t").rlike(rf"[<{{{_DEBRIS}]"), gathered("__t", rf"([<{{{_DEBRIS}](?:(?<=<)[^<>\n]{{1,200}}>|(?<=\{{)[^{{}}\n]{{1,200}}\}}|(?<=[{_DEBRIS}])))") / solid).otherwise(0.0),
+        "broken_share": counted("__t", r"\p{Lu}(?<=\p{Ll}.)|[.,:;!?](?<=\p{L}.)\p{Ll}", n),
+        "comma_rate": counted("__t", r"[,;/·|»]", n, 2.0),
     }
     done = base.withColumns(stats).select(*[F.col(f"`{c}`") for c in own], "n_words", *[c for c in FEATURES if c != "n_words"])
     # through an array, so that a filter on what follows is not pushed down to compute every feature again

@@ -24,9 +24,9 @@ _FOREIGN = [
 #: Real words that look unreal by their letters, as prose has now and then.
 _RARE = "rhythm lengths twelfths matchsticks Christmas nth hmm Mr PDF 2nd 8pm 3rd Fortschritt überschlagen selbstständig entspricht Geschichtsstunde Herbstschule Angstschrei schwyzerdütsch Krzysztof Åsbjørn McNab iPad e.g.this YouTube well,then zwölftens sechzehn sightseeing backstroke worthwhile".split()
 _NOUNS = "line point apple river garden table engine window market letter bridge forest pencil winter basket corner planet stone copper violin rocket saddle harbour island candle mirror ladder blanket kettle orange factor median vertex ratio square angle cube".split()
-_NAV = "Home;Log in;Sign up;Menu;Cookies;Privacy;Terms;Search;Share;Print;Help;Next page;Previous page;Back to top;Accept all;Subscribe;Contact us;Read more;Skip to content;All rights reserved".split(";")
+_NAV = "About us;Careers;Sitemap;Newsletter;Register;My account;Basket;Checkout;FAQ;Support centre;Follow us;Settings;Dashboard;Log out;Home;Search site;Privacy notice;Terms of use;Cookie settings;Download app;Read more;Next page;Share this;Help".split(";")
 _BULLETS = ["- ", "* ", "• ", "– ", "» ", "☐ ", "{n}. ", "{n}) ", "({n}) ", "{a}) ", "{a}. ", "{n} marks - ", "{n} mark - ", "", ""]
-_HEADS = ["Vocabulary", "Key words:", "To do:", "Contents", "Copied from the sheet.", "Results:", "Materials", "Homework set:", ""]
+_HEADS = ["Words of the week", "Checklist:", "Remember to pack", "Agenda", "Taken from the board.", "Scores so far:", "Equipment", "Before Friday:", ""]
 
 
 def _sentence(r: random.Random) -> str:
