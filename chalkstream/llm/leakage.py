@@ -145,6 +145,7 @@ def leaked_items(documents: DataFrame, doc: str, text: str, items: DataFrame, it
     return out.withColumnsRenamed({"doc": doc, "item": item})
 
 
-def leaked(found: DataFrame, item_words: int | None = None, run: int = 12, share: float = 0.15) -> DataFrame:
-    """Of leaked_items, the rows with run consecutive words, or whose distance is at most share of the run it has."""
+def leaked(found: DataFrame, run: int = 12, share: float = 0.15) -> DataFrame:
+    """Of leaked_items, the rows that leak: by run consecutive words, or by a copy whose distance in words is at most
+    share of the longest run it has of the item."""
     return found.where((F.col("longest_run") >= run) | (F.col("distance") <= share * F.col("longest_run")))

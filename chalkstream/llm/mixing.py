@@ -92,7 +92,8 @@ def mix(documents: DataFrame, doc: str, targets: dict[str, tuple[float, int]], t
 
     documents: doc (unique), source, lang, topic, tokens. targets: source -> (share of tokens, most repeats). Weights are
     raked over cells of source, language and topic to the target shares and to the tokens' own shares of languages and
-    topics, total being the tokens of all targeted sources unless given. A document gets the whole part of its cell's
+    topics. Unless given, total is the largest, up to the tokens of all targeted sources, at which every source that has
+    any tokens can reach its share within its repeats. A document gets the whole part of its cell's
     weight, and one more if the hash of its id falls under the rest, so its expected tokens are the calibrated ones.
 
     Documents of no targeted source, or without tokens, get 0. A source too small for its share gets the most repeats.
@@ -107,7 +108,9 @@ def mix(documents: DataFrame, doc: str, targets: dict[str, tuple[float, int]], t
     scale = sum(s for s, _ in targets.values())
     whole = float(cells.tokens.sum())
     margins = {"source": {k: s / scale for k, (s, _) in targets.items()}} | {c: (cells.groupby(c).tokens.sum() / whole).to_dict() for c in ("lang", "topic")}
-    cells["__weight"] = rake(cells, margins, {k: float(m) for k, (_, m) in targets.items()}, total or whole)
+    held = cells.groupby("source").tokens.sum()
+    reach = [held[k] * m / (s / scale) for k, (s, m) in targets.items() if s > 0 and k in held.index]
+    cells["__weight"] = rake(cells, margins, {k: float(m) for k, (_, m) in targets.items()}, total or min([whole, *reach]))
     spark = documents.sparkSession
     weights = spark.createDataFrame(cells[["source", "lang", "topic", "__weight"]].sort_values(["source", "lang", "topic"]))
     w = F.coalesce("__weight", F.lit(0.0))

@@ -14,7 +14,7 @@ from chalkstream.llm.components import assign_splits, linked_records
 from chalkstream.llm.conversations import conversations, reply_links, session_verdicts
 from chalkstream.llm.distinctive import distinctive_terms, recurring_terms
 from chalkstream.llm.turns import noise, speaker_turns
-from chalkstream.llm.leakage import leaked_items
+from chalkstream.llm.leakage import leaked, leaked_items
 from chalkstream.llm.mixing import count_tokens, language, mix, shares, topic
 from chalkstream.llm.personal import personal_spans, redacted
 from chalkstream.llm.quality import text_kinds
@@ -148,8 +148,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with a piece of an item, its distance from the whole item, and the longest run it has of it."""
-    return leaked_items(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "item_text")
+    """The documents that leak an item, by few edits from it or by a run of it: distance and longest run of each."""
+    found = leaked_items(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "item_text")
+    return leaked(found)
 
 
 # 9: mixing sources to target weights
