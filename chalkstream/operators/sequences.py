@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from chalkstream.functions import lexicons as L
-from chalkstream.functions.dialect import Dialect
+from chalkstream.functions.dialect import Dialect, run
+from chalkstream.functions.scan import BLOCK, numbered
 from chalkstream.operators.profiles import r6
 
 #: Utterances after which an impasse ends by itself; rows a repair looks ahead for its kind, and for another error.
@@ -58,15 +62,21 @@ def repairs_sql(e: Dialect, talk: str, verdicts: str) -> str:
     first tutor row of the KIND_AHEAD after it. It recovers if the next verdict, however far, is positive, and errs again
     if another correction follows within ERROR_AHEAD rows. Without arcs shares are null and has_arc is 0.
 
-    The next verdict is found by comparing places: of each arc the least verdict place beyond it, by a join on sessions
-    of arcs with verdicts cut to the first place after the arc by a running minimum from behind.
+    The next verdict is sought among arcs and verdicts by place: within a block, then at the first of the blocks after.
     """
     one = "1.0D" if e.spark else "1.0"
+    ahead = "order by i, is_verdict desc rows between 1 following and unbounded following"
+    seen = f"seen as (select *, {e.first('case when is_verdict = 1 then v end', f'(partition by session_id {ahead})')} as next_v from both_rows)"
+    if e.spark:  # within blocks, and from the first verdict of the blocks after
+        seen = f"""cut as (select *, floor(i / {BLOCK}) as blk from both_rows), heads as (select session_id, blk, min_by(v, i) filter (where is_verdict = 1) as first_v from cut group by session_id, blk),
+far as (select session_id, blk, {e.first('first_v', '(partition by session_id order by blk rows between 1 following and unbounded following)')} as far_v from heads),
+near as (select *, {e.first('case when is_verdict = 1 then v end', f'(partition by session_id, blk {ahead})')} as near_v from cut),
+seen as (select near.*, coalesce(near_v, far_v) as next_v from near join far on near.session_id = far.session_id and near.blk = far.blk)"""
     return f"""with a as (select t.*, role = 'teacher' and ({e.has('low', 'corrective')} or {e.has('low', 'feedback_incorrect')}) as cor, case when role = 'teacher' then coalesce({repair_kind(e, 'low')}, '-') end as kind from {talk} t),
 b as (select *, nullif(kind, '-') as own_kind, nullif({e.first('kind', f'({e.w} rows between 1 following and {KIND_AHEAD} following)')}, '-') as next_kind, coalesce(max(cast(cor as int)) over ({e.w} rows between 1 following and {ERROR_AHEAD} following), 0) as again from a),
 arcs as (select session_id, i, coalesce(own_kind, next_kind) as kind, again, 0 as is_verdict, cast(null as int) as v from b where own and cor),
 both_rows as (select session_id, i, kind, again, is_verdict, v from arcs union all select session_id, last_student, null, null, 1, verdict from {verdicts} where verdict is not null),
-seen as (select *, {e.first('case when is_verdict = 1 then v end', '(partition by session_id order by i, is_verdict desc rows between 1 following and unbounded following)')} as next_v from both_rows),
+{seen},
 s as (select session_id, count(*) as n_arcs, count_if(coalesce(kind = 'prompt', false)) as p, count_if(coalesce(kind = 'explain', false)) as x, count_if(coalesce(kind = 'answer', false)) as a, sum(coalesce(next_v, 0)) as rec, sum(again) as err from seen where is_verdict = 0 group by session_id),
 t as (select session_id, count_if(role = 'teacher') as n_tutor from {talk} where own group by session_id)
 select t.session_id, {r6(f'p * {one} / greatest(1, p + x + a)')} as rep_prompt_share, {r6(f'x * {one} / greatest(1, p + x + a)')} as rep_explain_share, {r6(f'a * {one} / greatest(1, p + x + a)')} as rep_answer_share, {r6(f'rec * {one} / n_arcs')} as rep_recovery_rate, {r6(f'err * {one} / n_arcs')} as rep_re_error_rate,
@@ -76,7 +86,8 @@ select t.session_id, {r6(f'p * {one} / greatest(1, p + x + a)')} as rep_prompt_s
 def record_sql(e: Dialect, graded: str) -> str:
     """The record block over graded answers (session_id, k from 0, m of them, turn, n_turns, p): means, last few, recency, runs, halves, trend."""
     one = "1.0D" if e.spark else "1.0"
-    return f"""with a as (select *, p >= 0.5 as ok, row_number() over (partition by session_id order by k) - row_number() over (partition by session_id, p >= 0.5 order by k) as island, exp(-(m - 1 - k) / {'5.0D' if e.spark else '5.0'}) as w, turn * {one} / greatest(n_turns, 1) as rel from {graded}),
+    island = "k - alike" if e.spark else "row_number() over (partition by session_id order by k) - row_number() over (partition by session_id, p >= 0.5 order by k)"
+    return f"""with a as (select *, p >= 0.5 as ok, {island} as island, exp(-(m - 1 - k) / {'5.0D' if e.spark else '5.0'}) as w, turn * {one} / greatest(n_turns, 1) as rel from {graded}),
 runs as (select session_id, coalesce(max(case when ok then c end), 0) as rc, coalesce(max(case when not ok then c end), 0) as ri from (select session_id, ok, island, count(*) as c from a group by session_id, ok, island) x group by session_id),
 s as (select session_id, max(m) as m, max(n_turns) as nt, avg(p) as acc, max(case when k = m - 1 then p end) as l1, avg(case when k >= m - 3 then p end) as l3, avg(case when k >= m - 5 then p end) as l5, sum(w * p) / sum(w) as rec, avg(case when k >= floor(m / {'2.0D' if e.spark else '2.0'}) then p end) - avg(case when k < floor(m / {'2.0D' if e.spark else '2.0'}) then p end) as half,
  case when max(m) > 2 then regr_slope(p, k * {one}) else 0.0 end as trend, coalesce(max(case when not ok then k end) * {one} / max(m), 1.0) as pli, avg(case when rel <= 0.3 then p end) as early, avg(case when rel >= 0.7 then p end) as late from a group by session_id)
@@ -90,7 +101,14 @@ def graded_sql(e: Dialect, turns: str) -> str:
     A turn is an answer if its second share is at least a half, as with a head that tells answers from other talk.
     """
     p, a = (e.share_of(f"concat('{x}|', session_id, '|', cast(turn as string))") if e.spark else e.share_of(f"concat('{x}|', session_id, '|', cast(turn as varchar))") for x in ("cor", "ans"))
-    return f"select session_id, row_number() over (partition by session_id order by turn) - 1 as k, count(*) over (partition by session_id) as m, turn, n as n_turns, {p} as p from {turns} where own and {a} >= 0.5"
+    placed = "" if e.spark else "row_number() over (partition by session_id order by turn) - 1 as k, count(*) over (partition by session_id) as m, "
+    return f"select session_id, {placed}turn, n as n_turns, {p} as p from {turns} where own and {a} >= 0.5"
+
+
+def graded(turns: DataFrame) -> DataFrame:
+    """graded_sql with k and m, and alike, the place among the session's answers that are as right or wrong; block by block."""
+    rows = run(graded_sql, turns=turns).withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("part", F.concat_ws("|", "session_id", (F.col("p") >= 0.5).cast("string")))
+    return numbered(numbered(rows, "session_id", "block", ["turn"], "k", "m"), "part", "block", ["turn"], "alike", "n_alike").drop("part", "block", "n_alike")
 
 
 def interactions_sql(e: Dialect, utt: str) -> str:
@@ -139,10 +157,17 @@ def neighbours_own_sql(e: Dialect, near: str) -> str:
     return f"select session_id, i, role, other_before, tutor_after, role_before, role_after, near_confusion from {near} where own"
 
 
+def with_role_places(utt: DataFrame) -> DataFrame:
+    """The own rows of utt with k, the place among the session's rows of that role, and m, their number; block by block."""
+    own = utt.where("own").withColumn("part", F.concat_ws("|", "session_id", "role")).withColumn("block", F.floor(F.col("i") / BLOCK))
+    return numbered(own, "part", "block", ["i"], "k", "m")
+
+
 def positions_sql(e: Dialect, utt: str) -> str:
-    """Place within the role as a fraction, late from two thirds on; thirds by 0.33 and 0.67; the first 40; the last 3 of a role."""
+    """utt in Spark: with_role_places. Place within the role as a fraction, late from two thirds on; thirds by 0.33 and 0.67; the first 40; the last 3 of a role."""
     one = "1.0D" if e.spark else "1.0"
-    return f"""with a as (select session_id, i, n, role, row_number() over (partition by session_id, role order by i) - 1 as k, count(*) over (partition by session_id, role) as m from {utt} where own)
+    placed = "k, m" if e.spark else "row_number() over (partition by session_id, role order by i) - 1 as k, count(*) over (partition by session_id, role) as m"
+    return f"""with a as (select session_id, i, n, role, {placed} from {utt} where own)
 select session_id, role, count(*) as m, {r6(f'avg(k * {one} / greatest(m - 1, 1))')} as mean_place, count_if(k * {one} / greatest(m - 1, 1) >= {one} * 2 / 3) as n_late, count_if(i * {one} / n < 0.33) as n_early_third, count_if(i * {one} / n >= 0.67) as n_last_third, count_if(i < 40) as n_head,
  min(i) as first_at, max(i) as last_at, max(case when k >= m - 3 then i end) - min(case when k >= m - 3 then i end) as last3_span from a group by session_id, role"""
 

@@ -32,7 +32,9 @@ def probabilities_sql(e: Dialect, turns: str) -> str:
 def rates_sql(e: Dialect, probs: str) -> str:
     """Plain, shrunken and empirically shrunken rates of a code, and its mean over the last turns of the role."""
     wins = ", ".join(f"{r6(f'avg(case when k >= m - {w} then p end)')} as last_{w}" for w in WINDOWS)
-    return f"""with a as (select *, row_number() over (partition by session_id, code order by turn) - 1 as k, count(*) over (partition by session_id, code) as m from {probs})
+    # only a first turn may lack a tutor, so the last turns of a role are the last of the session
+    placed = "turn as k, n as m" if e.spark else "row_number() over (partition by session_id, code order by turn) - 1 as k, count(*) over (partition by session_id, code) as m"
+    return f"""with a as (select *, {placed} from {probs})
 select session_id, code, {r6('avg(p)')} as rate, {r6(f'(sum(p) + {KAPPA} * max(prior)) / (count(*) + {KAPPA})')} as shrunk, {r6('(sum(p) + max(kappa) * max(prior)) / (count(*) + max(kappa))')} as shrunk_eb, {r6('(sum(p) + 35 * max(prior)) / (count(*) + 35)')} as shrunk_35, {wins} from a group by session_id, code"""
 
 
@@ -61,6 +63,10 @@ select session_id, {r6(f'l2 * {one} / n')} as warmup_frac, {r6(f'(n - 1 - h2) *
 def directions_sql(e: Dialect, probs: str) -> str:
     """By axis: rate, last third less first third (null under 3 turns), spread and centroid in time (null under 2 turns or without mass)."""
     one = _one(e)
+    if e.spark:  # entropy as ln(total) less the mean of ln(mass), so that one pass of sums does
+        return f"""with a as (select session_id, axis, turn, max(n) as n, sum(p) as m from {probs} group by session_id, axis, turn),
+t as (select session_id, axis, max(n) as n, avg(m) as rate, sum(m) as tot, sum(case when m > 0 then m * ln(m) else 0.0D end) as ml, sum(m * turn) as mt, avg(case when turn >= n - floor(n / 3.0D) then m end) - avg(case when turn < floor(n / 3.0D) then m end) as slope from a group by session_id, axis)
+select session_id, axis, {r6('rate')} as rate, {r6('case when n >= 3 then slope end')} as slope, {r6(f'case when n >= 2 and tot > {LEAST_MASS} then (ln(tot) - ml / tot) / nullif(ln(n), 0) end')} as spread, {r6(f'case when n >= 2 and tot > {LEAST_MASS} then mt / tot / nullif(n - 1, 0) end')} as centroid from t"""
     return f"""with a as (select session_id, axis, turn, max(n) as n, sum(p) as m from {probs} group by session_id, axis, turn),
 t as (select *, sum(m) over (partition by session_id, axis) as tot, floor(n / {'3.0D' if e.spark else '3.0'}) as c from a)
 select session_id, axis, {r6('avg(m)')} as rate, {r6('case when max(n) >= 3 then avg(case when turn >= n - c then m end) - avg(case when turn < c then m end) end')} as slope, {r6(f'case when max(n) >= 2 and max(tot) > {LEAST_MASS} then -sum(case when m > 0 then m / tot * ln(m / tot) else 0.0 end) / nullif(ln(max(n)), 0) end')} as spread,
@@ -77,7 +83,14 @@ def transitions_sql(e: Dialect, probs: str) -> str:
     leads = ", ".join(f"lead({a}) over (partition by session_id order by turn) as next_{a}" for a in sorted({b for _, b in after.values()}))
     cols = [f"{r6(cap(f'{a} * {b}', a))} as {k}" for k, (a, b) in pairs.items()]
     cols += [f"{r6(cap(f'case when next_{b} is not null then {a} * next_{b} end', f'case when next_{b} is not null then {a} end'))} as {k}" for k, (a, b) in after.items()]
-    return f"with w as (select session_id, turn, max(n) as n, {wide} from {probs} group by session_id, turn), l as (select *, {leads} from w) select session_id, {', '.join(cols)} from l group by session_id"
+    after_rows = f"select *, {leads} from w"
+    if e.spark:  # the turn after, from the same block or the first place of the next
+        ends = ", ".join(f"next_{a}" for a in sorted({b for _, b in after.values()}))
+        moved = ", ".join(f"0.0D as {a}" for a in axes)
+        nexts = ", ".join(f"{a} as next_{a}" for a in sorted({b for _, b in after.values()}))
+        blank = ", ".join(f"cast(null as double) as next_{a}" for a in sorted({b for _, b in after.values()}))
+        after_rows = f"select session_id, turn, max(n) as n, {', '.join(f'max({a}) as {a}' for a in axes)}, {', '.join(f'max({x}) as {x}' for x in ends.split(', '))} from (select session_id, turn, n, {', '.join(axes)}, {blank} from w union all select session_id, turn - 1 as turn, n, {moved}, {nexts} from w where turn > 0) x group by session_id, turn"
+    return f"with w as (select session_id, turn, max(n) as n, {wide} from {probs} group by session_id, turn), l as ({after_rows}) select session_id, {', '.join(cols)} from l group by session_id"
 
 
 def ratios_sql(e: Dialect, probs: str) -> str:

@@ -73,7 +73,7 @@ def repair_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("record_block", duck(seq.record_sql, **R, graded=seq.graded_sql(DUCK, "turns")))
 def record_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(seq.record_sql, graded=run(seq.graded_sql, turns=_turns(spark, sf_dir)))
+    return run(seq.record_sql, graded=seq.graded(_turns(spark, sf_dir)))
 
 
 @query("interaction_block", checks.INTERACTIONS)
@@ -88,7 +88,7 @@ def asof_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("role_positions", duck(seq.positions_sql, **U))
 def role_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(seq.positions_sql, utt=_utt(spark, sf_dir))
+    return run(seq.positions_sql, utt=seq.with_role_places(_utt(spark, sf_dir)))
 
 
 @query("objective_prompt", duck(seq.transcript_sql, **U, resp=frames.RESP))
