@@ -208,11 +208,16 @@ def oracle_sql() -> dict[str, str]:
  select learning_objective_id, term, tf, df, round(tf / len * (ln((1 + n) / (1 + df)) + 1), 9) as score from c join f using (term) join l using (learning_objective_id), n""",
         "p4_found": f"with {_U} select distinct session_id, utterance_id from u where utterance_id is not null and length(content) > 500",
         "p5_found": f"""with recursive r as (select distinct upper(trim(response_id, {_WS})) as response_id, {_SID} as s, upper(trim(learning_objective_id, {_WS})) as o from test_features),
- e as (select response_id, 's' || s as x from r where s not in ('', 'UNK') union select response_id, 'o' || o from r where o not in ('', 'UNK')),
+ e as (select response_id, 's' || s as x from r where s is not null union select response_id, 'o' || o from r where o not in ('', 'UNK')),
  so as (select distinct a.x, b.x as y from e a join e b using (response_id)),
  reach as (select distinct x, x as y from e union select reach.x, so.y from reach join so on reach.y = so.x),
  least as (select reach.x, min(response_id) as group_id from reach join e on e.x = reach.y group by 1), g as (select response_id, min(group_id) as group_id from e join least using (x) group by 1)
  select response_id, group_id from g where group_id in (select group_id from g group by 1 having count(*) > 1)""",
+        # every run of 12 words of an item against every run of 12 words of a document
+        "p8_found": r"""with i as (select item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') as w from eval_items), d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+ ig as (select distinct item_id, array_to_string(list_slice(w, k, k + 11), ' ') as run from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12) a),
+ dg as (select distinct doc_id, array_to_string(list_slice(w, k, k + 11), ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12) b)
+ select distinct doc_id, item_id from ig join dg using (run)""",
         "p6_found": f"""with {_U}, a as (select *, case when trim(coalesce(content, ''), {_WS}) = '' then null when {role} in ('tutor', 'tutr', 'tut', 't', 'teacher') then 't' when {role} in ('student', 'stu', 's', 'pupil', 'learner') then 's' end as who from u),
  c as (select session_id, utterance_id, count(distinct coalesce('+' || content, '-')) as k from u where utterance_id is not null group by all),
  b as (select session_id, max(k) as k, count(*) as n, max(utterance_id) - min(utterance_id) + 1 as span from c group by all),
