@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from chalkstream.functions import lexicons as L
 from chalkstream.functions.dialect import Dialect
+from chalkstream.functions.scan import BLOCK
 from chalkstream.operators.profiles import r6
+from chalkstream.session import cut
 
 
 def lexicon_counts_sql(e: Dialect, utt: str) -> str:
@@ -73,21 +77,84 @@ def best_ratio(values: DataFrame, value: str, entries: list[str], cutoff: float
     return values.where(F.col(value).isNotNull()).select(F.col(value).alias("value")).distinct().mapInPandas(match, "value string, entry string, ratio double").withColumnRenamed("value", value)
 
 
-def packed(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """rows with batch: in order, a group's rows are packed until the next would exceed the budget; an oversized row is alone.
+def block_exits(sizes: list[int], budget: int) -> tuple[int, list[int], list[int], list[int]]:
+    """The sum of a block's sizes, and for each row at which its first batch may start, in order: the sum up to and with
+    that row, how many batches start from there, and what the last of them holds at the end of the block.
 
-    The running sum starts anew with each batch, which no window says, so each group's sizes are folded once in order.
+    These are the rows that a batch begun before, of a size of 1 to budget, may not reach, and row 0.
     """
-    sized = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("xs"))
-    start = F.struct(F.array().cast("array<struct<o:bigint,b:int>>").alias("out"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("used"))
+    n, sums = len(sizes), [0, *accumulate(sizes)]
+    many, held, after, end = [0] * (n + 1), [0] * (n + 1), [n] * (n + 1), n
+    for k in range(n - 1, -1, -1):
+        if sizes[k]:
+            while end > k + 1 and sums[end] - sums[k] > budget:
+                end -= 1
+            after[k] = end
+        else:  # what holds nothing so far takes the next row of any size
+            after[k] = after[k + 1]
+        many[k], held[k] = (1, sums[n] - sums[k]) if after[k] == n else (many[after[k]] + 1, held[after[k]])
+    at = [k for k in range(n) if k == 0 or sizes[k] and sums[k] < budget]
+    return sums[n], [sums[k + 1] for k in at], [many[k] for k in at], [held[k] for k in at]
+
+
+def block_entries(blocks: Iterable[tuple[int, Sequence[int], Sequence[int], Sequence[int]]], budget: int) -> Iterator[tuple[int, int]]:
+    """For each block of a group, given by block_exits in order: the batch that is open where it begins, and what it holds."""
+    batch = used = 0
+    for total, upto, many, held in blocks:
+        yield batch, used
+        if used == 0:  # as if it started with row 0
+            batch, used = batch + many[0] - 1, held[0]
+        elif (k := bisect.bisect_right(upto, budget - used)) == len(upto):
+            used += total
+        else:
+            batch, used = batch + many[k], held[k]
+
+
+def block_batches(sizes: list[int], batch: int, used: int, budget: int) -> list[int]:
+    """The batch of each row of a block, entered with a batch that holds used."""
+    out = []
+    for size in sizes:
+        if used == 0 or used + size <= budget:
+            used += size
+        else:
+            batch, used = batch + 1, size
+        out.append(batch)
+    return out
+
 
-    def step(acc: F.Column, x: F.Column) -> F.Column:
-        fits = (acc["used"] == 0) | (acc["used"] + x["s"] <= budget)
-        b = F.when(fits, acc["b"]).otherwise(acc["b"] + 1)
-        return F.struct(F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), b.alias("b")))).alias("out"), b.alias("b"), F.when(fits, acc["used"] + x["s"]).otherwise(x["s"]).alias("used"))
+def packed(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+    """rows with batch: in order, a group's rows are packed until the next would exceed the budget; an oversized row is alone.
 
-    packs = sized.select(group, F.explode(F.aggregate("xs", start, step)["out"]).alias("p")).select(group, F.col("p.o").alias(order), F.col("p.b").alias("batch"))
-    return rows.join(packs, [group, order])
+    The running sum starts anew with each batch, which no window says. So rows are folded by blocks of 4,096 places of
+    order, a whole number: each block says how it is left for every row at which its first batch may start, a
+    fold over one entry a block follows these, and then each block is packed from the state it is entered with. Rows
+    without group or order are left out; sizes are not negative, and null counts as 0.
+    """
+    rest = [c for c in rows.columns if c not in (group, order)]
+
+    @F.pandas_udf("total bigint, upto array<bigint>, many array<int>, held array<bigint>")
+    def exits(sizes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([block_exits(x.tolist(), budget) for x in sizes], columns=["total", "upto", "many", "held"])
+
+    @F.pandas_udf("array<struct<batch:int,used:bigint>>")
+    def entries(total: pd.Series, upto: pd.Series, many: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([[{"batch": b, "used": u} for b, u in block_entries(zip(*x), budget)] for x in zip(total, upto, many, held)], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def batches(sizes: pd.Series, batch: pd.Series, used: pd.Series) -> pd.Series:
+        return pd.Series([block_batches(x.tolist(), b, u, budget) for x, b, u in zip(sizes, batch, used)], dtype=object)
+
+    row = F.struct(F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("s"), F.struct(*rest).alias("r"))
+    of = rows.where(F.col(group).isNotNull() & F.col(order).isNotNull()).groupBy(group, F.floor(F.col(order) / BLOCK).alias("__blk"))
+    blocks = of.agg(F.array_sort(F.collect_list(row)).alias("__xs"))
+    blocks = cut(blocks.withColumn("__at", exits(F.col("__xs.s"))))
+    ways = blocks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__blk", "__at"))).alias("__bs")).where(F.size("__bs") > 1)
+    ways = ways.withColumn("__e", entries(*[F.col(f"__bs.__at.{c}") for c in ("total", "upto", "many", "held")]))
+    ways = ways.select(group, F.explode(F.arrays_zip(F.col("__bs.__blk").alias("b"), F.col("__e").alias("e"))).alias("x")).select(group, F.col("x.b").alias("__blk"), F.col("x.e").alias("__in"))
+    entered = blocks.drop("__at").join(ways, [group, "__blk"], "left")
+    entered = entered.withColumn("__b", batches(F.col("__xs.s"), F.coalesce("__in.batch", F.lit(0)), F.coalesce("__in.used", F.lit(0).cast("long"))))
+    each = entered.select(group, F.explode(F.arrays_zip(F.col("__xs").alias("x"), F.col("__b").alias("b"))).alias("p"))
+    return each.select(group, F.col("p.x.o").alias(order), *[F.col("p.x.r")[c].alias(c) for c in rest], F.col("p.b").alias("batch"))
 
 
 def dropped_longest(rows: DataFrame, group: str, key: str, size: str, budget: int) -> DataFrame:

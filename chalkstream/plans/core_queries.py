@@ -357,8 +357,7 @@ def publisher_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_packing")
 def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns packed into batches of at most 2,000 characters, and how many each session needs."""
-    sized = _turns(spark, sf_dir).where("own").selectExpr("session_id", "i", "length(teacher) + length(student) as size")
-    return texts.packed(sized, "session_id", "i", "size", 2000).groupBy("session_id").agg(F.max("batch").alias("last_batch"), F.count(F.lit(1)).alias("n_turns"))
+    return texts.packed(frames.turn_sizes(spark, sf_dir), "session_id", "i", "size", 2000).groupBy("session_id").agg(F.max("batch").alias("last_batch"), F.count(F.lit(1)).alias("n_turns"))
 
 
 _BUDGET = """select session_id, count(*) as n_kept, cast(sum(size) as bigint) as kept_size from (select *, sum(size) over (partition by session_id) - coalesce(sum(size) over (partition by session_id order by size desc, i desc rows between unbounded preceding and 1 preceding), 0) as rest
